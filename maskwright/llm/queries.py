@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
+from maskwright.llm import chunk_dedup, decontaminate, license_scan, line_dedup, mixing, ngram_join, robust_outliers, surrogates, tool_calls, toxicity
 
 #: production parameters of the mix, also used by the pipeline
 MIX = {
@@ -152,3 +152,58 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return found.withColumns(joined).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = robust_outliers.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", *robust_outliers.STATISTICS, "base_failed", "kept")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_dedup.drop_repeats(docs).select("doc_id", "n_repeated", "n_dropped", "repeated", "dropped", "text")
+
+
+QUERIES |= {"op1_license_scan": op1_license_scan, "op7_quality": op7_quality, "op8_substring_dedup": op8_substring_dedup}
+
+
+#: a production deployment takes the key from its secret store
+SURROGATE_KEY = "maskwright-demo-key"
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.with_surrogates(docs, SURROGATE_KEY).select("doc_id", "n_entities", F.array_join("entity_types", ",").alias("entity_types"), "text")
+
+
+def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tool calls and results as the conversations table implies them: each assistant turn calls a tool on its own text, the turn after it
+    holds the result, and calls refer to the call before them.  Lengths decide which are left faulty."""
+    n = F.length(F.coalesce(F.col("text"), F.lit("")))
+    call_id = F.concat(F.lit("c"), F.col("turn").cast("string"))
+    word = F.regexp_replace(F.regexp_extract(F.coalesce(F.col("text"), F.lit("")), r"([^\x20\x09-\x0D]+)", 1), r'[\\"]', "")
+    limit = F.when(n % 11 == 0, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).otherwise((n % 50).cast("string"))
+    ref = F.when(F.col("turn") >= 3, F.concat(F.lit(', "after": "$c'), (F.col("turn") - 2).cast("string"), F.lit('"'))).otherwise(F.lit(""))
+    arguments = F.concat(F.lit('{"query": "'), word, F.lit('", "limit": '), limit, ref, F.when(n % 97 == 0, F.lit("")).otherwise(F.lit("}")))
+    name = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("rank")), (n % 3 + 1).cast("int"))
+    calls = turns.filter("role = 'assistant'").select("conv_id", "turn", call_id.alias("call_id"), name.alias("name"), arguments.alias("arguments"))
+    answer = F.concat(F.lit("c"), (F.col("turn") - 1).cast("string"))
+    results = turns.filter("role = 'user' and turn > 0").select("conv_id", "turn", answer.alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = conversation_calls(_table(spark, sf_dir, "conversations"))
+    types = "map('query','string','limit','integer','after','string')"
+    schemas = spark.sql(f"select name, array('query','limit') as required, {types} as types from values ('search'), ('lookup'), ('rank') as t(name)")
+    out = tool_calls.link_tool_calls(calls, results, schemas)
+    return out.select("conv_id", "turn", "call_id", "name", "level", "status", F.array_join("errors", ",").alias("errors"), "json")
+
+
+QUERIES |= {"op3_surrogates": op3_surrogates, "op5_tool_calls": op5_tool_calls}
