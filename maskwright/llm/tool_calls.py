@@ -110,7 +110,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     body = F.when(F.col("object"), canonical(F.col("arguments"))).otherwise(text("arguments"))
     json = F.concat(F.lit('{"arguments":'), body, F.lit(',"id":'), text("call_id"), F.lit(',"name":'), text("name"), F.lit(',"result":'), text("content"), F.lit("}"))
     out = linked.select("conv_id", "turn", "call_id", "name", F.when(~F.col("duplicate"), F.col("level")).alias("level"), status.alias("status"), "errors", json.alias("json"))
-    lone = results.join(ids, ["conv_id", "call_id"], "left_anti")
+    lone = results.join(ids.distinct().withColumn("met", F.lit(True)), ["conv_id", "call_id"], "left").filter("met is null or duplicate")
     blank = F.concat(F.lit('{"id":'), text("call_id"), F.lit(',"result":'), text("content"), F.lit("}"))
     extra = lone.select("conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.when(F.col("duplicate"), "duplicate").otherwise("orphan_result").alias("status"), F.array().cast("array<string>").alias("errors"), blank.alias("json"))
     return out.unionByName(extra)

@@ -374,8 +374,9 @@ def train(texts: list[str | None], toxic: list[int], config: TrainConfig = Train
             chosen += [(d, int(rng.choice(s))) for d, s in enumerate(starts) if not labels[d]]
         rng.shuffle(chosen)
         rate = config.rate * (1 - epoch / config.epochs) + 0.001
-        for b in range(0, len(chosen), config.batch):
-            some = chosen[b : b + config.batch]
+        batch = min(config.batch, max(16, len(chosen) // 30))  # small samples get steps enough
+        for b in range(0, len(chosen), batch):
+            some = chosen[b : b + batch]
             parts = [[docs[d][(s + i) % len(docs[d])] for i in range(config.window)] for d, s in some]
             index = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
             tokens = list(index)
