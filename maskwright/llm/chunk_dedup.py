@@ -84,7 +84,7 @@ def code_points(data: bytes, spans: list[tuple[int, int]], least: int) -> list[t
     return out
 
 
-def repeated_chunks(docs: DataFrame, average: int = 32, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_chunks(docs: DataFrame, average: int = 20, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc, first (whether this is the digest's first occurrence), start and end (bytes) of every chunk whose digest occurs twice or more."""
     base = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null")
     parts = max(1, math.ceil(text_bytes(docs, text) / average / ENTRIES))
@@ -143,7 +143,7 @@ def repeated_chunks(docs: DataFrame, average: int = 32, longest: int = 256, text
     return dealt.groupBy("p").applyInPandas(meet, "doc long, first boolean, start long, end long")
 
 
-def drop_repeats(docs: DataFrame, min_bytes: int = 160, average: int = 32, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_repeats(docs: DataFrame, min_bytes: int = 128, average: int = 20, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` with the text less its droppable runs, and repeated, dropped (spans in code points), n_repeated, n_dropped (code points).
 
     ``repeated`` has every run of chunks that occur elsewhere too, its first occurrence included; ``dropped`` those of which an earlier
