@@ -620,3 +620,34 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*)
 )
 def event_sessions(spark, d):
     return streams.sessions(table(spark, d, "events"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE left(c_name, 2) || repeat('*', length(c_name) - 4) || right(c_name, 2) END AS part, 'PSEUDO-' || upper(substr(sha256('s' || c_name), 1, 4)) AS pseudo FROM customer")
+def sql_functions(spark, d):
+    """The session's SQL functions in a SQL statement."""
+    from maskwright.functions.sql import register
+
+    register(spark)
+    table(spark, d, "customer").createOrReplaceTempView("maskwright_customer")
+    return spark.sql("SELECT c_custkey, mask_partial(c_name, 2, 2) AS part, pseudonym(c_name, 's') AS pseudo FROM maskwright_customer")
+
+
+@query(
+    """
+SELECT c_custkey AS file_id, c_name AS name, o_orderkey AS task_id, o_orderstatus AS status FROM customer LEFT JOIN
+  (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) ON o_custkey = c_custkey AND r = 1 WHERE c_mktsegment = 'BUILDING'"""
+)
+def file_listing(spark, d):
+    """Customers as files and orders as their tasks: an owner's files with the latest task of each."""
+    from maskwright.sources.catalogue import listing
+
+    files = table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"), F.col("c_mktsegment").alias("owner"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("uploaded"))
+    tasks = table(spark, d, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created"))
+    return listing(files, tasks, "BUILDING").select("file_id", "name", "task_id", "status")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders")
+def status_counts(spark, d):
+    from maskwright.sources.catalogue import status_counts as counts
+
+    return counts(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "status"), ("O", "F", "P"))

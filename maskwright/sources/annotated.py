@@ -54,3 +54,17 @@ def read_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     other = F.transform(other, lambda x: F.struct(x["phi_type"], F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end"), x["text"]))
     gold = both.select("sample_id", F.explode(F.when(F.size(parts) > 0, parts).otherwise(other)).alias("g"))
     return texts, gold.select("sample_id", "g.text", "g.phi_type", F.col("g.start").try_cast("int").alias("start"), F.col("g.end").try_cast("int").alias("end"))
+
+
+def read_tagged(table: DataFrame, key: str) -> DataFrame:
+    """(sample_id, column, text) of a table's text columns whose values carry inline tags."""
+    columns = [c for c in table.columns if c != key]
+    each = table.select(F.col(key).cast("string").alias("sample_id"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns])).alias("x"))
+    return each.select("sample_id", "x.*").filter(F.col("text").contains("【PHI:"))
+
+
+def read_regulations(spark: SparkSession, path: str) -> DataFrame:
+    """source, type (its folder), content of markdown and text files."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True)
+    place = F.col("_metadata.file_path")
+    return found.select(F.regexp_extract(place, r"([^/]+)$", 1).alias("source"), F.regexp_extract(place, r"([^/]+)/[^/]+$", 1).alias("type"), F.col("value").alias("content"))

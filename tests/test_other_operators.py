@@ -168,3 +168,23 @@ def test_core_queries_stay_in_the_jvm(spark):
     for name in ("phi_type_distribution", "apply_mask_docs", "merge_overlaps", "chunk_windows", "eval_exact", "latest_per_key"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan, name
+
+
+def test_sql_functions_and_exports(spark, tmp_path):
+    import io
+
+    from maskwright.functions.sql import register
+    from maskwright.sources import catalogue
+
+    register(spark)
+    row = spark.sql("select mask_partial('A123456789', 2, 2) a, pseudonym('x', 's') b, collapse_spaces(' a \n b ') c, text_language('病') d, phone_digits('+1 (2)') e, strip_tags('a【PHI:ID:1】b【/PHI】') f").first()
+    assert (row.a, row.c, row.d, row.e, row.f) == ("A1******89", "a b", "zh-TW", "+12", "ab") and row.b.startswith("PSEUDO-")
+    out = spark.createDataFrame([("a.csv", bytearray(b"1")), ("a.csv", bytearray(b"2"))], "name string, bytes binary")
+    assert sorted(zipfile.ZipFile(io.BytesIO(catalogue.packed(out))).namelist()) == ["a.csv", "a_2.csv"]
+    with pytest.raises(ValueError):
+        catalogue.packed(out, 1)
+    (tmp_path / "law").mkdir()
+    (tmp_path / "law" / "a.md").write_text("# rule\ntext")
+    assert [tuple(r) for r in annotated.read_regulations(spark, str(tmp_path)).collect()] == [("a.md", "law", "# rule\ntext")]
+    tagged = spark.createDataFrame([(1, "x【PHI:ID】y【/PHI】", "none")], "id int, a string, b string")
+    assert [r.column for r in annotated.read_tagged(tagged, "id").collect()] == ["a"]
