@@ -7,9 +7,9 @@ unit gives the window's score.  Windows overlap by a quarter; every window of ev
 the largest score is the document's.
 
 The network is trained here, in numpy, on a sample of labelled rows whose bound is a parameter
-(``TrainConfig.max_per_class``); labels say nothing about windows, so training alternates between
-picking the windows that explain a toxic document best (and the clean windows most like toxic ones)
-and gradient steps on them.  Scoring is one Arrow pass without a shuffle.
+(``TrainConfig.max_per_class`` and ``max_clean``); labels say nothing about windows, so training starts with the windows that hold the words most peculiar to
+toxic documents, and later alternates between picking the windows that explain a toxic document best (and the clean windows most like
+toxic ones) and gradient steps on them.  Scoring is one Arrow pass without a shuffle.
 
 Defined results: null and empty texts have no window and get the score ``Model.empty_score``
 (at most 0.49, the training sample's share of toxic rows otherwise).  Repeated rows are scored each.
@@ -35,7 +35,8 @@ PIECE = 20  #: bytes of a word that one token holds; longer words become several
 class TrainConfig:
     """Bounds and sizes of training; none of them limits what is scored."""
 
-    max_per_class: int = 1500
+    max_per_class: int = 1500  #: toxic rows
+    max_clean: int = 2500  #: rows that are not
     window: int = 32
     stride: int = 24
     vocabulary: int = 4096
@@ -354,14 +355,20 @@ def train(texts: list[str | None], toxic: list[int], config: TrainConfig = Train
     model = Model(config, vocabulary, initial_weights(config, len(vocabulary)), empty)
     labels, rng = np.array(y), np.random.default_rng(config.seed)
     starts = [window_starts(len(d), config.window, config.stride) for d in docs]
+    counts = [Counter(w for d, label in zip(docs, y, strict=True) if label == k for w in set(d)) for k in (0, 1)]
+    n = np.bincount(labels, minlength=2)
+    odds = {w: float(np.log((counts[1][w] + 0.5) / (n[1] + 1)) - np.log((counts[0][w] + 0.5) / (n[0] + 1))) for w in vocabulary}
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     step = 0
     for epoch in range(config.epochs):
-        if epoch < 2:  # nothing is known of the windows yet
+        if epoch < 2:  # the windows with the words most peculiar to toxic documents
             chosen: list[tuple[int, int]] = []
             for d, s in enumerate(starts):
-                take = rng.choice(s, min(len(s), 3 if labels[d] else 2), replace=False)
-                chosen += [(d, int(i)) for i in take]
+                tell = np.array([odds.get(w, 0.0) for w in docs[d]])
+                top = s[np.argsort([-tell[i : i + config.window].max() for i in s], kind="stable")]
+                chosen += [(d, int(i)) for i in top[: 2 if labels[d] else 1]]
+                if not labels[d]:
+                    chosen.append((d, int(rng.choice(s))))
         elif epoch % 2 == 0:
             chosen = []
             owner, at, score = Scorer(model).windows(docs)
@@ -396,8 +403,8 @@ def train(texts: list[str | None], toxic: list[int], config: TrainConfig = Train
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_per_class: int) -> DataFrame:
-    """(text, toxic) of at most ``max_per_class`` labelled rows of each class, none of them held out.
+def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
+    """(text, toxic) of at most so many labelled rows of each class, none of them held out.
 
     Held out is crc32(doc_id as text) mod 5 = 0.  The order that picks is a hash of the id, so it does
     not depend on partitioning.  Null labels are left out; of contradicting labels the larger holds.
@@ -408,8 +415,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_per_class: int) -> Dat
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
     key = [F.xxhash64(F.col("doc_id")), F.col("doc_id")]
-    some = known.filter("toxic = 1").orderBy(*key).limit(max_per_class).unionByName(known.filter("toxic = 0").orderBy(*key).limit(max_per_class))
-    # bounded by 2 * max_per_class rows of two numbers
+    some = known.filter("toxic = 1").orderBy(*key).limit(max_toxic).unionByName(known.filter("toxic = 0").orderBy(*key).limit(max_clean))
+    # bounded by max_toxic + max_clean rows of two numbers
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
 
 
@@ -419,7 +426,7 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, config: TrainConfig = TrainConfig()) -> Model:
     """Train on the bounded sample of labelled rows; the sample (not the corpus) comes to the driver."""
-    rows = training_rows(docs, labels, config.max_per_class).toPandas()
+    rows = training_rows(docs, labels, config.max_per_class, config.max_clean).toPandas()
     return train(rows["text"].tolist(), rows["toxic"].tolist(), config)
 
 
