@@ -57,15 +57,17 @@ def digests(data: bytes, ends: np.ndarray) -> np.ndarray:
     return np.fromiter((hash_of(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends))
 
 
-def runs(starts: list[int], ends: list[int], least: int) -> list[tuple[int, int]]:
-    """Joined neighbouring ranges (given in any order) of at least ``least`` bytes."""
-    out: list[list[int]] = []
-    for a, b in sorted(zip(starts, ends, strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out if b - a >= least]
+def runs(codes: np.ndarray, least: int) -> list[int]:
+    """Starts and ends, in turn, of joined neighbouring chunks of at least ``least`` bytes.  ``codes``: start << 20 | size << 1 | first."""
+    codes = np.unique(codes)
+    start = codes >> 20
+    end = start + ((codes >> 1) & 0x7FFFF)
+    if not len(codes):
+        return []
+    opens = np.concatenate([[True], start[1:] != end[:-1]])
+    a, b = start[opens], end[np.concatenate([opens[1:], [True]])]
+    long = b - a >= least
+    return np.stack([a[long], b[long]], 1).ravel().tolist()
 
 
 def code_points(data: bytes, spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -85,7 +87,7 @@ def code_points(data: bytes, spans: list[tuple[int, int]], least: int) -> list[t
 
 
 def repeated_chunks(docs: DataFrame, average: int = 20, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc, first (whether this is the digest's first occurrence), start and end (bytes) of every chunk whose digest occurs twice or more."""
+    """doc and code (start << 20 | size << 1 | whether this is the digest's first occurrence; bytes) of every chunk whose digest occurs twice or more."""
     base = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null")
     parts = max(1, math.ceil(text_bytes(docs, text) / average / ENTRIES))
     combine = 1024
@@ -137,10 +139,10 @@ def repeated_chunks(docs: DataFrame, average: int = 20, longest: int = 256, text
             d, s = np.frombuffer(hot, np.int64).reshape(2, -1)
             out.append((d, s, np.zeros(len(d), bool)))
         doc, span, first = (np.concatenate([o[i] for o in out]) for i in range(3))
-        return pd.DataFrame({"doc": doc, "first": first, "start": (span >> 16).astype(np.int64), "end": (span >> 16) + (span & 0xFFFF)})
+        return pd.DataFrame({"doc": doc, "code": (span >> 16) << 20 | (span & 0xFFFF) << 1 | first})
 
     dealt = base.mapInPandas(deal, "p int, key binary, doc binary, span binary, hot binary")
-    return dealt.groupBy("p").applyInPandas(meet, "doc long, first boolean, start long, end long")
+    return dealt.groupBy("p").applyInPandas(meet, "doc long, code long")
 
 
 def drop_repeats(docs: DataFrame, min_bytes: int = 128, average: int = 20, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -152,13 +154,14 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 128, average: int = 20, longe
     docs = without(docs, "repeated", "dropped", "n_repeated", "n_dropped")
     found = repeated_chunks(docs, average, longest, text, doc_id)
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        later = pdf[~pdf["first"]]
-        r = runs(pdf["start"].tolist(), pdf["end"].tolist(), min_bytes)
-        x = runs(later["start"].tolist(), later["end"].tolist(), min_bytes)
-        return pd.DataFrame({"__doc": pdf["doc"].iloc[:1], "__r": [[v for s in r for v in s]], "__x": [[v for s in x for v in s]]})
+    @F.pandas_udf("r array<long>, x array<long>")
+    def joined_runs(codes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"r": [runs(c, min_bytes) for c in codes], "x": [runs(c[c & 1 == 0], min_bytes) for c in codes]})
 
-    spans = materialize(found.groupBy("doc").applyInPandas(gather, "__doc long, __r array<long>, __x array<long>").filter("size(__r) > 0"), "spans")
+    # a row per document with a repeated chunk; its codes are as many as its own chunks
+    own = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("code").alias("codes"))
+    spans = own.select("__doc", joined_runs("codes").alias("s")).select("__doc", F.col("s.r").alias("__r"), F.col("s.x").alias("__x"))
+    spans = materialize(spans.filter(F.size("__r") > 0), "spans")
 
     @F.pandas_udf("text string, repeated array<struct<start:long,end:long>>, dropped array<struct<start:long,end:long>>")
     def cut(texts: pd.Series, repeated: pd.Series, dropped: pd.Series) -> pd.DataFrame:
