@@ -271,7 +271,7 @@ def window_starts(n: int, window: int, stride: int) -> np.ndarray:
 class Scorer:
     """Scores texts with a model; keeps what the word network takes of the words seen so far (bounded)."""
 
-    KEEP = 150_000
+    KEEP = 100_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -338,12 +338,22 @@ class Scorer:
 # ---------------------------------------------------------------- training
 
 
+def _mined(model: Model, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of all docs, a few docs at a time to bound what the scorer holds."""
+    scorer, parts = Scorer(model), []
+    for i in range(0, len(docs), 100):
+        owner, at, score = scorer.windows(docs[i : i + 100])
+        parts.append((owner + i, at, score))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def train(texts: list[str | None], toxic: list[int], config: TrainConfig = TrainConfig()) -> Model:
     """Fit on labelled texts (the caller bounds how many).  One class only: a constant model."""
     docs, y = [], []
+    pool: dict[bytes, bytes] = {}  # equal words are one object
     for t, label in zip(texts, toxic, strict=True):
         if p := pieces_of(t):
-            docs.append(p)
+            docs.append([pool.setdefault(w, w) for w in p])
             y.append(int(label))
     share = float(np.mean(toxic)) if toxic else 0.0
     empty = min(round(share, 6), 0.49)
@@ -371,7 +381,7 @@ def train(texts: list[str | None], toxic: list[int], config: TrainConfig = Train
                     chosen.append((d, int(rng.choice(s))))
         elif epoch % 2 == 0:
             chosen = []
-            owner, at, score = Scorer(model).windows(docs)
+            owner, at, score = _mined(model, docs)
             order = np.lexsort((-score, owner))
             rank = np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
             for o, r in zip(order, rank, strict=True):
@@ -427,7 +437,9 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, config: TrainConfig = TrainConfig()) -> Model:
     """Train on the bounded sample of labelled rows; the sample (not the corpus) comes to the driver."""
     rows = training_rows(docs, labels, config.max_per_class, config.max_clean).toPandas()
-    return train(rows["text"].tolist(), rows["toxic"].tolist(), config)
+    texts, toxic = rows["text"].tolist(), rows["toxic"].tolist()
+    del rows
+    return train(texts, toxic, config)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
