@@ -6,7 +6,7 @@ insertions before it do not shift its chunks.  A stretch without a cut is cut ev
 
 Chunks are compared by digest in one packed shuffle of (digest, document, place).  A digest found more than once marks all its chunks
 as repeated and all but its first occurrence (smallest doc_id, then smallest place) as droppable.  Neighbouring chunks
-make a run; runs shorter than ``min_bytes`` are let be, since single short chunks repeat by chance.  Hot digests are
+make a run; runs shorter than ``min_chars`` code points are let be, since single short chunks repeat by chance.  Hot digests are
 combined within each task, and a digest's occurrences leave the reducer as one row each.
 
 Defined results: null and empty texts have no chunks and stay; rows without a ``doc_id`` stay unchanged, with no spans; a ``doc_id`` must
@@ -58,7 +58,7 @@ def digests(data: bytes, ends: np.ndarray) -> np.ndarray:
 
 
 def runs(codes: np.ndarray, least: int) -> list[int]:
-    """Starts and ends, in turn, of joined neighbouring chunks of at least ``least`` bytes.  ``codes``: start << 20 | size << 1 | first."""
+    """Starts and ends, in turn, of joined neighbouring chunks of at least ``least`` code points.  ``codes``: start << 20 | size << 1 | first."""
     codes = np.unique(codes)
     start = codes >> 20
     end = start + ((codes >> 1) & 0x7FFFF)
@@ -70,24 +70,14 @@ def runs(codes: np.ndarray, least: int) -> list[int]:
     return np.stack([a[long], b[long]], 1).ravel().tolist()
 
 
-def code_points(data: bytes, spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Byte ranges as code point ranges; a cut within a character moves to its end (start) so that a span has whole characters."""
-    out = []
-    at = place = 0
-    for a, b in spans:
-        while a < len(data) and data[a] & 0xC0 == 0x80:
-            a += 1
-        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
-            b -= 1
-        start = place + len(data[at:a].decode("utf-8", "surrogatepass"))
-        end = start + len(data[a:b].decode("utf-8", "surrogatepass"))
-        at, place = b, end
-        out.append((start, end))
-    return out
+def code_point_ends(data: bytes, ends: np.ndarray) -> np.ndarray:
+    """Ends in bytes as ends in code points; a cut within a character moves behind it."""
+    started = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    return started[ends - 1]
 
 
 def repeated_chunks(docs: DataFrame, average: int = 20, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc and code (start << 20 | size << 1 | whether this is the digest's first occurrence; bytes) of every chunk whose digest occurs twice or more."""
+    """doc and code (start << 20 | size << 1 | whether this is the digest's first occurrence; code points) of every chunk whose digest occurs twice or more."""
     base = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null")
     parts = max(1, math.ceil(text_bytes(docs, text) / average / ENTRIES))
     combine = 1024
@@ -114,10 +104,11 @@ def repeated_chunks(docs: DataFrame, average: int = 20, longest: int = 256, text
                 data = t.encode("utf-8", "surrogatepass")
                 ends = cuts(data, average, longest)
                 if len(ends):
-                    sizes = np.diff(ends, prepend=0)
-                    held.append((digests(data, ends), np.full(len(ends), d, np.int64), (ends - sizes) << 16 | np.minimum(sizes, longest)))
+                    places = code_point_ends(data, ends)
+                    sizes = np.diff(places, prepend=0)
+                    held.append((digests(data, ends), np.full(len(ends), d, np.int64), (places - sizes) << 16 | sizes))
                     size += len(ends)
-                if size > 500_000:
+                if size > 200_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -145,7 +136,7 @@ def repeated_chunks(docs: DataFrame, average: int = 20, longest: int = 256, text
     return dealt.groupBy("p").applyInPandas(meet, "doc long, code long")
 
 
-def drop_repeats(docs: DataFrame, min_bytes: int = 128, average: int = 20, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_repeats(docs: DataFrame, min_chars: int = 128, average: int = 20, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` with the text less its droppable runs, and repeated, dropped (spans in code points), n_repeated, n_dropped (code points).
 
     ``repeated`` has every run of chunks that occur elsewhere too, its first occurrence included; ``dropped`` those of which an earlier
@@ -156,33 +147,23 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 128, average: int = 20, longe
 
     @F.pandas_udf("r array<long>, x array<long>")
     def joined_runs(codes: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"r": [runs(c, min_bytes) for c in codes], "x": [runs(c[c & 1 == 0], min_bytes) for c in codes]})
+        return pd.DataFrame({"r": [runs(c, min_chars) for c in codes], "x": [runs(c[c & 1 == 0], min_chars) for c in codes]})
 
     # a row per document with a repeated chunk; its codes are as many as its own chunks
     own = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("code").alias("codes"))
     spans = own.select("__doc", joined_runs("codes").alias("s")).select("__doc", F.col("s.r").alias("__r"), F.col("s.x").alias("__x"))
     spans = materialize(spans.filter(F.size("__r") > 0), "spans")
 
-    @F.pandas_udf("text string, repeated array<struct<start:long,end:long>>, dropped array<struct<start:long,end:long>>")
-    def cut(texts: pd.Series, repeated: pd.Series, dropped: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, r, x in zip(texts, repeated, dropped, strict=True):
-            if r is None or t is None:
-                out.append((t, [], []))
-                continue
-            data = t.encode("utf-8", "surrogatepass")
-            r, x = (code_points(data, list(zip(v[::2], v[1::2], strict=True)), min_bytes) for v in (r, x))
-            left, at = [], 0
-            for a, b in x:
-                left.append(t[at:a])
-                at = b
-            out.append(("".join([*left, t[at:]]), [{"start": a, "end": b} for a, b in r], [{"start": a, "end": b} for a, b in x]))
-        return pd.DataFrame(out, columns=["text", "repeated", "dropped"])
-
     size = spans.agg(F.coalesce(F.sum(F.size("__r") + F.size("__x") + 4), F.lit(0))).first()[0]
     joined = docs.join(F.broadcast(spans) if size <= BROADCAST_NUMBERS else spans, F.col(doc_id) == F.col("__doc"), "left")
-    done = joined.withColumn("__cut", cut(F.col(text), F.col("__r"), F.col("__x")))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return done.select(
-        *[F.col("__cut.text").alias(c) if c == text else F.col(c) for c in docs.columns], "__cut.repeated", "__cut.dropped", total("__cut.repeated").alias("n_repeated"), total("__cut.dropped").alias("n_dropped")
-    )
+    even, odd = (lambda c: F.filter(c, lambda v, i: i % 2 == 0)), (lambda c: F.filter(c, lambda v, i: i % 2 == 1))
+    none = F.array().cast("array<long>")
+    r, x = F.coalesce("__r", none), F.coalesce("__x", none)
+    kept = F.zip_with(  # the pieces between dropped runs
+        F.concat(F.array(F.lit(0).cast("long")), odd(x)), F.concat(even(x), F.array(F.char_length(text).cast("long"))),
+        lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int")),
+    )
+    left = F.when(F.size(x) > 0, F.array_join(kept, "")).otherwise(F.col(text))
+    pairs = lambda c: F.zip_with(even(c), odd(c), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    total = lambda c: F.aggregate(F.zip_with(even(c), odd(c), lambda a, b: b - a), F.lit(0).cast("long"), lambda n, v: n + v)
+    return joined.select(*[left.alias(c) if c == text else F.col(c) for c in docs.columns], pairs(r).alias("repeated"), pairs(x).alias("dropped"), total(r).alias("n_repeated"), total(x).alias("n_dropped"))
