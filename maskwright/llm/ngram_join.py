@@ -188,19 +188,24 @@ def _combined(keys: np.ndarray, nodes: np.ndarray, limit: int) -> tuple[np.ndarr
     return keys[~hot], nodes[~hot], np.stack([keys[hot].view(np.int64), nodes[hot], nodes[starts[run[hot]]]])
 
 
-def candidates_of(keys: np.ndarray, nodes: np.ndarray, all_pairs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (n, 2) to verify, larger node first, and members (n, 2: key, node) of entries that need further rounds."""
+def candidates_of(keys: np.ndarray, nodes: np.ndarray, all_pairs: int, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (n, 2) to verify, larger node first, and members (n, 2: key, node) of entries that need further rounds.
+
+    ``marked`` entries have more nodes elsewhere and count as large, however few are here."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     same = np.concatenate([[False], (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])]) if len(keys) else np.zeros(0, bool)
     keys, nodes = keys[~same], nodes[~same]
     starts, lengths = _runs(keys)
     pairs, members = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
-    for n in np.unique(lengths[(lengths > 1) & (lengths <= all_pairs)]):
-        some = nodes[starts[lengths == n][:, None] + np.arange(n)]
+    large = lengths > all_pairs
+    if marked is not None:
+        large |= np.isin(keys[starts], marked)
+    for n in np.unique(lengths[(lengths > 1) & ~large]):
+        some = nodes[starts[(lengths == n) & ~large][:, None] + np.arange(n)]
         i, j = np.triu_indices(n, 1)
         pairs.append(np.unique(np.stack([some[:, j].ravel(), some[:, i].ravel()], 1), axis=0))
-    for s, n in zip(starts[lengths > all_pairs], lengths[lengths > all_pairs], strict=True):
+    for s, n in zip(starts[large], lengths[large], strict=True):
         pairs.append(np.stack([nodes[s + 1 : s + n], np.full(n - 1, nodes[s])], 1))
         members.append(np.stack([keys[s : s + n].view(np.int64), nodes[s : s + n]], 1))
     return np.unique(np.concatenate(pairs), axis=0), np.concatenate(members)
@@ -215,10 +220,12 @@ def _candidates(docs: DataFrame, index: Index, size: int, parts: int, all_pairs:
         def flush() -> pd.DataFrame:
             k = np.concatenate(keys)
             left, own, hot = _combined(k, np.repeat(np.array(nodes, np.int64), [len(x) for x in keys]), combine)
-            rows = [(p, data[0], data[1], None) for p, data in split_packed(left, parts, own)]
+            rows = [(p, data[0], data[1], None, None) for p, data in split_packed(left, parts, own)]
             if hot.size:
-                rows.append((int(left[0] % np.uint64(parts)), None, None, hot.tobytes()))
-            return pd.DataFrame(rows, columns=["p", "keys", "nodes", "hot"])
+                rows.append((int(left[0] % np.uint64(parts)), None, None, hot.tobytes(), None))
+                # where other tasks' nodes of a hot entry are met, they must become members of it too
+                rows += [(p, None, None, None, data[0]) for p, data in split_packed(np.unique(hot[0].view(np.uint64)), parts)]
+            return pd.DataFrame(rows, columns=["p", "keys", "nodes", "hot", "marks"])
 
         for pdf in batches:
             for d, t in zip(pdf["d"].tolist(), pdf["t"], strict=True):
@@ -236,7 +243,8 @@ def _candidates(docs: DataFrame, index: Index, size: int, parts: int, all_pairs:
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         packed = pdf[pdf["keys"].notna()]
         k = np.frombuffer(b"".join(packed["keys"]), np.uint64)
-        pairs, members = candidates_of(k, np.frombuffer(b"".join(packed["nodes"]), np.int64), all_pairs)
+        marked = np.unique(np.frombuffer(b"".join(pdf["marks"].dropna()), np.uint64))
+        pairs, members = candidates_of(k, np.frombuffer(b"".join(packed["nodes"]), np.int64), all_pairs, marked)
         for hot in pdf["hot"].dropna():
             x = np.frombuffer(hot, np.int64).reshape(3, -1)
             pairs = np.concatenate([pairs, np.stack([x[1], x[2]], 1)])
@@ -245,7 +253,7 @@ def _candidates(docs: DataFrame, index: Index, size: int, parts: int, all_pairs:
         both = np.concatenate([pairs, members])
         return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), [len(pairs), len(members)]), "a": both[:, 0], "b": both[:, 1]})
 
-    dealt = docs.mapInPandas(deal, "p int, keys binary, nodes binary, hot binary")
+    dealt = docs.mapInPandas(deal, "p int, keys binary, nodes binary, hot binary, marks binary")
     return dealt.groupBy("p").applyInPandas(meet, "kind int, a long, b long")
 
 
