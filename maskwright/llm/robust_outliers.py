@@ -9,7 +9,8 @@ A floor (``FLOOR``) is added to each variance: statistics that are zero in most
 are scaled so that their median is the chi-squared distribution's.
 
 Defined results: null texts count as empty; texts without words fail the base rules; null languages and sources form groups of their
-own; groups of fewer than ``min_rows`` documents that pass the base rules reject nothing; input columns named like the added
+own; groups of fewer than ``min_rows`` documents that pass the base rules are judged by their language's estimate, or, where the
+language has fewer too, by the whole corpus's, so that each document that passes has a distance; input columns named like the added
 ones give way to them.
 """
 
@@ -142,6 +143,32 @@ def estimate(rows: DataFrame, coverage: float = 0.75, steps: int = 5) -> DataFra
     return materialize(now.join(scale, ["lang", "source"]), "estimate")
 
 
+def _levels(fit: DataFrame, min_rows: int) -> DataFrame:
+    """Per lang and source: the estimate that judges it (to_lang, to_source), and whether its language's or the corpus's is needed by any group.
+
+    Keys of estimates: ("=lang", "=source") of a group, ("=lang", "") of a language, ("", "") of the corpus."""
+    sizes = fit.groupBy("lang", "source").count()
+    langs = sizes.groupBy("lang").agg(F.sum("count").alias("in_lang"), F.min("count").alias("least"))
+    langs = langs.withColumn("by_lang", (F.col("least") < min_rows) & (F.col("in_lang") >= min_rows))
+    whole = langs.agg(F.coalesce(F.max((F.col("least") < min_rows) & ~F.col("by_lang")), F.lit(False)).alias("by_corpus"))
+    out = sizes.join(langs, "lang").crossJoin(F.broadcast(whole))
+    own, named = F.col("count") >= min_rows, F.concat(F.lit("="), "lang")
+    return out.select(
+        "lang", "source", own.alias("own"), "by_lang", "by_corpus", F.when(own | F.col("by_lang"), named).otherwise("").alias("to_lang"),
+        F.when(own, F.concat(F.lit("="), "source")).otherwise("").alias("to_source"),
+    )
+
+
+def _dealt(fit: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """The vectors, once for each estimate they take part in, with its key as lang and source."""
+    key = lambda a, b: F.struct(a.alias("lang"), b.alias("source"))
+    lang, source = F.concat(F.lit("="), "lang"), F.concat(F.lit("="), "source")
+    keys = F.array(F.when(F.col("own"), key(lang, source)), F.when(F.col("by_lang"), key(lang, F.lit(""))), F.when(F.col("by_corpus"), key(F.lit(""), F.lit(""))))
+    some = _near(fit, plan.select("lang", "source", "own", "by_lang", "by_corpus"), few)
+    x = [f"x{i}" for i in range(DIMENSIONS)]
+    return some.select(F.explode(F.array_compact(keys)).alias("k"), *x).select("k.lang", "k.source", *x)
+
+
 def judge(docs: DataFrame, min_rows: int = 50, cutoff: float = CHI2_CUT, coverage: float = 0.75, steps: int = 5, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """All columns of ``docs`` but the text, the statistics, base_failed, distance (null if not judged) and kept."""
     docs = without(docs, *STATISTICS, "n_lines", "base_failed", "distance", "kept")
@@ -150,10 +177,12 @@ def judge(docs: DataFrame, min_rows: int = 50, cutoff: float = CHI2_CUT, coverag
     group = {"__lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "__source": F.coalesce(F.col(source).cast("string"), F.lit(""))}
     rows = materialize(rows.withColumns(group).select(*others, *STATISTICS, "n_lines", "base_failed", *group), "statistics")
     fit = rows.filter(~F.col("base_failed")).select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), *[x.alias(f"x{i}") for i, x in enumerate(vector())])
-    sizes = fit.groupBy("lang", "source").count().filter(F.col("count") >= min_rows).select("lang", "source")
-    few = sizes.count() <= BROADCAST_GROUPS
-    model = estimate(materialize(_near(fit, sizes, few), "vectors"), coverage, steps)
-    model = model.withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    plan = materialize(_levels(fit, min_rows), "levels")
+    many = plan.count()
+    model = estimate(materialize(_dealt(fit, plan, many <= BROADCAST_GROUPS), "vectors"), coverage, steps)
+    groups = plan.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("to_lang").alias("lang"), F.col("to_source").alias("source"))
+    model = materialize(groups.join(model, ["lang", "source"]).drop("lang", "source"), "models")
+    few = many <= BROADCAST_GROUPS
     out = rows.join(F.broadcast(model) if few else model, ["__lang", "__source"], "left").withColumns({f"x{i}": x for i, x in enumerate(vector())})
     out = out.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance(DIMENSIONS) / F.greatest(F.col("scale"), F.lit(1.0)))))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= math.sqrt(cutoff))
