@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,10 +27,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the folder all executors share (a local one, for tests, where that is unset) and read back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="maskwright-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in blocks of at most ``MAX_QUERIES``: themselves if they are so few, else written once with their numbers."""
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        return [queries]
+    # numbers within a partition, then from the partitions before it: no task takes all rows
+    at = _written(queries.withColumn("__id", F.monotonically_increasing_id()), "queries").withColumn("__part", F.shiftright("__id", 33))
+    starts = at.groupBy("__part").count().withColumn("__start", F.sum("count").over(Window.orderBy("__part")) - F.col("count"))  # a row for each partition
+    number = F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1)
+    numbered = at.join(F.broadcast(starts.drop("count")), "__part").withColumn("__block", F.floor(number / MAX_QUERIES)).drop("__id", "__part", "__start")
+    numbered = _written(numbered, "blocks")
+    return [numbered.filter(F.col("__block") == b).drop("__block") for b in range(-(-n // MAX_QUERIES))]
+
+
+def _in_blocks(queries: DataFrame, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of what ``reduce`` leaves of each block; with several blocks each is written before the next begins."""
+    each = blocks(queries)
+    if len(each) == 1:
+        return reduce(each[0])
+    out = [_written(reduce(b), "block") for b in each]
+    while len(out) > 1:  # in pairs, so that the plan is no deeper than it has to be
+        out = [out[i].unionByName(out[i + 1]) if i + 1 < len(out) else out[i] for i in range(0, len(out), 2)]
+    return out[0]
+
+
 def scored(queries: DataFrame, store: DataFrame) -> DataFrame:
-    """qid, vec_id, score of all queries (qid, query) against all vectors (vec_id, embedding).  The queries' number is checked and broadcast."""
-    if queries.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: pass them in blocks")
+    """qid, vec_id, score of a block of queries (qid, query; see ``blocks``) against all vectors (vec_id, embedding).  The queries are broadcast."""
     q = queries.select("qid", "query", norm(F.col("query")).alias("__n"))
     v = store.withColumn("__m", norm(F.col("embedding")))
     both = v.crossJoin(F.broadcast(q))
@@ -34,10 +70,14 @@ def scored(queries: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def top_k(queries: DataFrame, store: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
-    """qid, vec_id, score, rank of the k most similar vectors; ties by vec_id.
+    """qid, vec_id, score, rank of the k most similar vectors; ties by vec_id.  Queries are taken in blocks.
 
     Each of 64 groups of vectors keeps k first, so what meets in a query's task is bounded whatever the store's size.
     """
+    return _in_blocks(queries, lambda block: _top_k(block, store, k, digits))
+
+
+def _top_k(queries: DataFrame, store: DataFrame, k: int, digits: int) -> DataFrame:
     s = scored(queries, store).select("qid", "vec_id", F.round("score", digits).alias("score"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("__g"))
     order = [F.desc("score"), F.col("vec_id")]
     near = s.withColumn("__r", F.row_number().over(Window.partitionBy("qid", "__g").orderBy(*order))).filter(F.col("__r") <= k)
@@ -45,13 +85,13 @@ def top_k(queries: DataFrame, store: DataFrame, k: int = 5, digits: int = 6) ->
 
 
 def over_threshold(queries: DataFrame, store: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
-    return scored(queries, store).select("qid", "vec_id", F.round("score", digits).alias("score")).filter(F.col("score") >= threshold)
+    return _in_blocks(queries, lambda block: scored(block, store).select("qid", "vec_id", F.round("score", digits).alias("score")).filter(F.col("score") >= threshold))
 
 
 def mmr(queries: DataFrame, store: DataFrame, k: int = 5, fetch: int = 20, trade: float = 0.5) -> DataFrame:
     """qid, rank, vec_id by maximal marginal relevance: of the ``fetch`` nearest, k picked one by one by
     trade * similarity to the query - (1 - trade) * largest similarity to one picked before.  A group has ``fetch`` rows at most."""
-    near = top_k(queries, store, fetch).join(store.select("vec_id", "embedding"), "vec_id").join(F.broadcast(queries.select("qid", "query")), "qid")
+    near = top_k(queries, store, fetch).join(store.select("vec_id", "embedding"), "vec_id").join(queries.select("qid", "query"), "qid")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
@@ -105,9 +145,13 @@ def hashed_terms(text: Column, dimensions: int = 64) -> Column:
 
 def chunk_retrieval(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Per document and query, its k nearest chunks.  ``chunks``: doc_id, chunk_id, embedding."""
-    s = scored(queries, chunks).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("doc_id", "qid").orderBy(F.desc("score"), "chunk_id")
-    return s.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc_id", "qid", "chunk_id", "score", "rank")
+
+    def near(block: DataFrame) -> DataFrame:
+        s = scored(block, chunks).withColumn("score", F.round("score", 6))
+        return s.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc_id", "qid", "chunk_id", "score", "rank")
+
+    return _in_blocks(queries, near)
 
 
 class VectorStore:
