@@ -91,7 +91,7 @@ class Scanner:
         spans = []
         for what, windows in around.items():
             for a, b in _joined(windows):
-                for m in self.patterns[what].finditer(line, a, b):
+                for m in _matches(self.patterns[what], line, a, b):
                     found = m.group().strip()
                     at = m.start() + m.group().index(found[:1]) if found else m.start()
                     first = line.count(" ", 0, at) - 1
@@ -106,6 +106,16 @@ class Scanner:
         return len(words), len(places), min(starts, default=None), max(starts, default=None), base, labels, spans, round(score, 6)
 
 
+def _matches(pattern: regex.Pattern, line: str, a: int, b: int) -> Iterator[regex.Match]:
+    """The slice's best match, and in turn those of what lies before and behind it, until nothing is found."""
+    left = [(a, b)]
+    while left:
+        a, b = left.pop()
+        if m := pattern.search(line, a, b):
+            yield m
+            left += [(a, m.start()), (m.end(), b)]
+
+
 def _joined(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(windows):
