@@ -6,7 +6,8 @@ their checksum pass it again, addresses stay addresses, names follow the gender
 (coreference), also a name's parts, which are replaced one by one.
 
 Distinctness is checked over all values of the corpus: where two values of a type would share a surrogate, or a surrogate
-is itself a value of the corpus, all but the first go to the next attempt (another hash), until none is left.  Only values of a
+is itself a value of the corpus, all but the first go to the next attempt (another hash), until none is left; values whose format has no
+free surrogate any more are counted in a warning.  Only values of a
 later attempt than the first are looked up when texts are rewritten - few, by a map up to ``MAP_LIMIT`` of them, else by a join.
 
 Defined results: null texts stay null and have no entities; texts without entities are unchanged; repeated rows are rewritten alike;
@@ -15,6 +16,7 @@ input columns named like the added ones give way to them.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import materialize, without
 
 MAP_LIMIT = 10_000
-ATTEMPTS = 12
+ATTEMPTS = 12  #: rounds of one draw each; the values left then draw many at once
+IDLE = 4096  #: draws of a value without any success after which its format is taken to be full
+DRAWS = 4_000_000  #: of a round, over all values
 
 #: types in the order in which they take text; Java patterns without capturing groups.  Values have no upper length, lest their rest stay;
 #: repetitions without one are possessive, and an e-mail begins where its run of characters does, or where the last match ended
@@ -174,9 +178,35 @@ def later_attempts(values: DataFrame, key: str) -> DataFrame:
         known = made.join(values.select("type", F.col("value").alias("s")), ["type", "s"], "left_semi").select("type", "value")
         again = materialize(shared.unionByName(known).distinct().withColumn("again", F.lit(1)), "again")
         if again.isEmpty():
-            break
+            return now.filter("attempt > 0")
         now = made.drop("s").join(again, ["type", "value"], "left").select("type", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
-    return now.filter("attempt > 0")
+    held = materialize(made.join(again, ["type", "value"], "left_anti").select("type", "value", "attempt", "s"), "held")
+    return _settled(held, materialize(again.select("type", "value"), "left"), values, key).filter("attempt > 0")
+
+
+def _settled(held: DataFrame, left: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``held`` (type, value, attempt, s) and an attempt for the values ``left`` without a surrogate: many are drawn at once and free ones taken.
+
+    Where some value draws a free surrogate, at least one is settled, so rounds go on until none is left or ``IDLE`` draws of
+    each value that is left settled nothing: its format is then taken to be full, and the number of such values is given as a warning."""
+    first, width, idle = ATTEMPTS, 64, 0
+    many = left.count()
+    while many and idle < IDLE:
+        width = max(1, min(width, DRAWS // many))
+        drawn = left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + width - 1))))
+        drawn = drawn.withColumn("s", surrogate(key, F.col("type"), F.col("value"), F.col("attempt")))
+        free = drawn.join(held.select("type", "s"), ["type", "s"], "left_anti").join(values.select("type", F.col("value").alias("s")), ["type", "s"], "left_anti")
+        won = free.groupBy("type", "s").agg(F.min(F.struct("attempt", "value")).alias("f")).select("type", "s", "f.value", "f.attempt")
+        taken = won.groupBy("type", "value").agg(F.min(F.struct("attempt", "s")).alias("f")).select("type", "value", "f.attempt", "f.s")
+        taken = materialize(taken, "taken")
+        first, idle = first + width, idle + width
+        if not taken.isEmpty():
+            held, left, idle = held.unionByName(taken), materialize(left.join(taken, ["type", "value"], "left_anti"), "left"), 0
+            many = left.count()
+        width = min(8 * width, IDLE)
+    if many:
+        warnings.warn(f"{many} values found no surrogate of their own: their formats are full", stacklevel=2)
+    return held.drop("s").unionByName(left.withColumn("attempt", F.lit(ATTEMPTS)))
 
 
 def with_surrogates(docs: DataFrame, key: str, text: str = "text", patterns: Mapping[str, str] = PATTERNS, map_limit: int = MAP_LIMIT) -> DataFrame:
