@@ -161,11 +161,10 @@ def drop_lines(
 
 def _drop_by_join(docs: DataFrame, found: DataFrame, min_chars: int, keep: str, text: str, doc_id: str) -> DataFrame:
     """The way beyond the broadcast bound: lines meet the confirmed keys in a join (split by AQE where a key is hot)."""
-    spaces = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
     rows = docs.withColumn("__row", F.expr("uuid()"))
     rows = materialize(rows, "rows")
     lines = rows.select("__row", F.col(doc_id).alias("__doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("__at", "__line"))
-    key = F.translate(F.regexp_replace("__line", spaces, ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = F.translate(F.btrim("__line", F.lit(" \t\n\x0b\x0c\r")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     joined = lines.withColumn("key", key).join(found.select("key", "first_doc"), "key", "left")
     drop = F.col("first_doc").isNotNull() & (F.length("key") >= min_chars)
     flagged = joined.select("__row", "__doc", "key", "__at", "__line", "first_doc", drop.alias("__drop"))
