@@ -173,13 +173,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"op1_license_scan": op1_license_scan, "op7_quality": op7_quality, "op8_substring_dedup": op8_substring_dedup}
 
 
-#: a production deployment takes the key from its secret store
-SURROGATE_KEY = "maskwright-demo-key"
+#: the session's setting with the key, which a deployment fills from its secret store; without it, the key of the test data
+SURROGATE_KEY = "spark.maskwright.surrogate.key"
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.with_surrogates(docs, SURROGATE_KEY).select("doc_id", "n_entities", F.array_join("entity_types", ",").alias("entity_types"), "text")
+    return surrogates.with_surrogates(docs, spark.conf.get(SURROGATE_KEY, "test-data")).select("doc_id", "n_entities", F.array_join("entity_types", ",").alias("entity_types"), "text")
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
