@@ -47,7 +47,21 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "IP_ADDRESS": ("ip位址", "ip地址", "ip", "ip_address"),
     "SSN": ("社會安全號碼", "社安號", "ssn", "social_security"),
 }
-#: names of evaluation corpora, by their normal form
+#: words by which a model's short answers name types; the first that occurs in the answer decides
+KEYWORDS: dict[str, str] = {
+    "person": "NAME", "name": "NAME", "patient": "NAME", "date": "DATE", "dob": "DATE", "birthday": "DATE", "phone": "PHONE", "tel": "PHONE", "mobile": "PHONE",
+    "email": "EMAIL", "mail": "EMAIL", "id": "ID", "ssn": "ID", "mrn": "ID", "account": "ID", "address": "LOCATION", "location": "LOCATION", "city": "LOCATION", "org": "FACILITY", "hospital": "FACILITY", "company": "FACILITY",
+}
+#: the shorter normal forms of two evaluations: of lightweight models, and of case matching
+LIGHT_FORMS: dict[str, tuple[str, ...]] = {
+    "NAME": ("PERSON", "PATIENT", "DOCTOR", "PERSON_NAME", "PATIENT_NAME"), "DATE": ("DATETIME", "DOB", "BIRTHDATE"), "PHONE": ("TELEPHONE", "PHONE_NUMBER"),
+    "LOCATION": ("ADDRESS",), "ID": ("MEDICAL_RECORD", "MRN"), "FACILITY": ("HOSPITAL", "CLINIC"),
+}
+CASE_FORMS: dict[str, tuple[str, ...]] = {
+    "NAME": ("NAME", "PATIENT_NAME", "DOCTOR_NAME"), "AGE": ("AGE", "AGE_OVER_89"), "DATE": ("DATE", "DOB", "BIRTHDATE"), "ID": ("ID", "ID_NUMBER", "MRN"),
+    "PHONE": ("PHONE", "TELEPHONE", "MOBILE"), "EMAIL": ("EMAIL",), "LOCATION": ("LOCATION", "ADDRESS"), "FACILITY": ("FACILITY", "HOSPITAL"),
+}
+#: names of evaluation corpora, by their normal form; a fixed value like the ones above
 NORMAL_FORMS: dict[str, tuple[str, ...]] = {
     "NAME": ("NAME", "PATIENT", "PATIENT_NAME", "DOCTOR", "DOCTOR_NAME", "PERSON", "PERSON_NAME", "FULL_NAME", "PERSON/NAME"),
     "DATE": ("DATE", "DOB", "BIRTHDATE", "DATE_OF_BIRTH", "DATE_TIME", "DATETIME"),
@@ -80,13 +94,13 @@ def discovered(seen: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def map_alias(name: Column, extra: Mapping[str, str] | None = None) -> Column:
-    """struct(phi_type, custom_type): type name, else alias, else registered extra type, else CUSTOM with the name."""
+    """struct(phi_type, custom_type): the caller's own mapping (``extra``), else type name, else alias, else CUSTOM with the name."""
     clean = F.trim(name)
     upper = F.translate(F.upper(clean), " -", "__")
     aliases = literal_map({a: t for t, names in ALIASES.items() for a in names})
     found = F.coalesce(F.when(upper.isin(*TYPES), upper), F.try_element_at(aliases, F.lower(clean)))
     if extra:
-        found = F.coalesce(found, F.try_element_at(literal_map(extra), clean))
+        found = F.coalesce(F.try_element_at(literal_map(extra), clean), found)
     blank = name.isNull() | (clean == "")
     kind = F.when(blank, F.lit("CUSTOM")).otherwise(F.coalesce(found, F.lit("CUSTOM")))
     custom = F.when(blank, F.lit("Unknown PHI Type")).when(found.isNull(), clean)
@@ -109,6 +123,58 @@ def normal_form(name: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map({n: k for k, names in NORMAL_FORMS.items() for n in names}), upper), upper)
 
 
+def short_form(name: Column, forms: Mapping[str, tuple[str, ...]]) -> Column:
+    """Normal form by one of the shorter tables; unknown names stay, upper-cased."""
+    return F.coalesce(F.try_element_at(literal_map({n: k for k, names in forms.items() for n in names}), F.upper(name)), F.upper(name))
+
+
+def keyword_type(answer: Column) -> Column:
+    """Type of a model's short answer: that of the first keyword (in their order) that it holds, else the answer upper-cased."""
+    bare = F.translate(F.lower(answer), " _", "")
+    out = F.when(F.lit(False), answer)
+    for word, kind in KEYWORDS.items():
+        out = out.when(bare.contains(word), F.lit(kind))
+    return out.otherwise(F.upper(answer))
+
+
+def is_supported(language: Column) -> Column:
+    """Whether a language is one of those that are supported; null counts as the default."""
+    return F.coalesce(language, F.lit(LANGUAGES[0])).isin(*LANGUAGES)
+
+
+def display_name(phi_type: Column, custom_type: Column) -> Column:
+    return F.when((phi_type == "CUSTOM") & custom_type.isNotNull(), custom_type).otherwise(phi_type)
+
+
+def description(phi_type: Column, custom_type: Column, text: Column, custom_description: Column, source: Column) -> Column:
+    """'type: text (description of the custom type) [Source: regulation]'."""
+    more = F.when(custom_type.isNotNull(), F.concat(F.lit(" ("), custom_description, F.lit(")")))
+    return F.concat(display_name(phi_type, custom_type), F.lit(": "), text, F.coalesce(more, F.lit("")), F.coalesce(F.concat(F.lit(" [Source: "), F.nullif(source, F.lit("")), F.lit("]")), F.lit("")))
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """Entities of a model's answer (phi_type, text, start_pos, end_pos, confidence, reason) with what is missing filled in."""
+    values = {"phi_type": "NAME", "start_pos": 0, "end_pos": 0, "confidence": 1.0, "reason": "Identified as PHI"}
+    out = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()}
+    out["reason"] = F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit(values["reason"]))
+    return rows.withColumns(out)
+
+
+def export_types(types: DataFrame, path: str) -> None:
+    """Custom and discovered types as JSON lines."""
+    types.filter("source <> 'base'").write.mode("overwrite").json(path)
+
+
+def import_types(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """The known types and those of an export that are not known yet."""
+    read = spark.read.schema(known.schema).json(path)
+    return known.unionByName(read.dropDuplicates(["name"]).join(known.select("name"), "name", "left_anti"))
+
+
+def without_discovered(types: DataFrame) -> DataFrame:
+    return types.filter("source <> 'discovered'")
+
+
 def is_high_risk(phi_type: Column, custom: Column | None = None) -> Column:
     risky = phi_type.isin(*HIGH_RISK)
     return risky if custom is None else risky | F.coalesce(custom, F.lit(False))

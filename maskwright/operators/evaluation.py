@@ -9,18 +9,40 @@ from maskwright.functions.text import normalised
 from maskwright.functions.types import normal_form
 
 TAG = r"【PHI:(\w+):?(\w*)】([^【]+?)【/PHI】"
+TAG_WITH_ID = r"【PHI:(\w+):([\w-]+)】([^【]+)【/PHI】"
 
 
 def tags(text: Column) -> Column:
-    """array<struct<phi_type, phi_id, content>> of inline tags; the id is null where there is none."""
+    """array<struct<phi_type, phi_id, content>> of inline tags, contents stripped; the id is null where there is none."""
     groups = [F.regexp_extract_all(text, F.lit(TAG), F.lit(g)) for g in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "tic", strict=True)]), lambda x: F.struct(x["t"].alias("phi_type"), F.nullif(x["i"], F.lit("")).alias("phi_id"), x["c"].alias("content")))
+    return F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "tic", strict=True)]), lambda x: F.struct(x["t"].alias("phi_type"), F.nullif(x["i"], F.lit("")).alias("phi_id"), stripped(x["c"]).alias("content")))
+
+
+def tags_with_id(text: Column) -> Column:
+    """array<struct<phi_type, phi_id, content>> of the tags that carry an id, which may hold hyphens."""
+    groups = [F.regexp_extract_all(text, F.lit(TAG_WITH_ID), F.lit(g)) for g in (1, 2, 3)]
+    return F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "tic", strict=True)]), lambda x: F.struct(x["t"].alias("phi_type"), x["i"].alias("phi_id"), stripped(x["c"]).alias("content")))
 
 
 def without_tags(text: Column) -> Column:
     return F.regexp_replace(text, TAG, "$3")
 
 
+def without_tags_with_id(text: Column) -> Column:
+    """The other way to strip: opening tags that carry an id and closing tags go one by one, ends are stripped."""
+    return stripped(F.regexp_replace(text, r"【PHI:\w+:[\w-]+】|【/PHI】", ""))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def compared(text: Column) -> Column:
+    """The form in which texts are compared: stripped, lower-cased."""
+    return F.lower(stripped(text))
+
+
 def with_tags(text: Column, entities: Column) -> Column:
     """Entities (phi_type, text) tagged at their first occurrence, the longest first."""
 
@@ -55,14 +77,71 @@ def _counts(gold: DataFrame, predicted: DataFrame, keys: list[str], out: list[st
 
 
 def exact(gold: DataFrame, predicted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Matches of equal text and normalised type within a sample.  Inputs: sample_id, text, phi_type.  ``by``: sample_id and / or phi_type."""
-    g, p = (x.select("sample_id", "text", normal_form(F.col("phi_type")).alias("phi_type")) for x in (gold, predicted))
+    """Matches of equal text (stripped, lower-cased) and normalised type within a sample.  Inputs: sample_id, text, phi_type.  ``by``: sample_id and / or phi_type."""
+    g, p = (x.select("sample_id", compared(F.col("text")).alias("text"), normal_form(F.col("phi_type")).alias("phi_type")) for x in (gold, predicted))
     return ratios(_counts(g, p, ["sample_id", "text", "phi_type"], list(by)))
 
 
 def type_only(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Counts per type, whatever the texts."""
-    return ratios(_counts(gold, predicted, ["phi_type"], []))
+    """Counts per type, whatever the texts, and the share of matches in all."""
+    return with_accuracy(ratios(_counts(gold, predicted, ["phi_type"], [])))
+
+
+def with_accuracy(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """tp / (tp + fp + fn), 0 where there is nothing."""
+    return rows.withColumn("accuracy", F.round(F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)), digits))
+
+
+def type_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Per type, the simplified metrics: the smaller number of entities matches, the rest is too much or missing."""
+    return ratios(_counts(gold, predicted, ["phi_type"], ["phi_type"]))
+
+
+def same_type_partial(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Per sample: each prediction with a gold entity of its type that contains it or is contained counts once; gold entities may serve several.
+
+    Inputs: sample_id, seq, phi_type, text.  fn are the gold entities that are the first fit of no prediction."""
+    entity = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("seq", "phi_type", "text"))), lambda s: F.struct(s["phi_type"].alias("k"), compared(s["text"]).alias("t")))
+    g, p = (x.groupBy("sample_id").agg(entity(x).alias(n)) for x, n in ((gold, "g"), (predicted, "p")))
+    both = g.join(p, "sample_id", "full_outer")
+    none = F.array().cast("array<struct<k:string,t:string>>")
+    both = both.withColumns({"g": F.coalesce("g", none), "p": F.coalesce("p", none)})
+    fits = lambda a, b: (a["k"] == b["k"]) & (F.contains(a["t"], b["t"]) | F.contains(b["t"], a["t"]))
+    first = F.transform("p", lambda x: F.array_position(F.transform("g", lambda y: fits(x, y)), F.lit(True)))
+    hit = F.filter(first, lambda i: i > 0)
+    rows = both.select("sample_id", F.size(hit).cast("long").alias("tp"), (F.size("p") - F.size(hit)).cast("long").alias("fp"), (F.size("g") - F.size(F.array_distinct(hit))).cast("long").alias("fn"))
+    return with_accuracy(ratios(rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])))
+
+
+def fuzzy_sets(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Per sample: distinct texts (stripped, lower-cased, not empty) matched greedily by containment, in the order of the texts.  Inputs: sample_id, text."""
+    texts = lambda x, n: x.select("sample_id", compared(F.col("text")).alias("t")).filter("t <> ''").groupBy("sample_id").agg(F.array_sort(F.collect_set("t")).alias(n))
+    both = texts(gold, "g").join(texts(predicted, "p"), "sample_id", "full_outer")
+    none = F.array().cast("array<string>")
+    rows = both.withColumns({"g": F.coalesce("g", none), "p": F.coalesce("p", none)}).withColumn("tp", greedy_hits(F.col("g"), F.col("p")).cast("long"))
+    return ratios(rows.select("sample_id", "tp", (F.size("p") - F.col("tp")).alias("fp"), (F.size("g") - F.col("tp")).alias("fn")))
+
+
+def recalled(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Per sample: gold entities some predicted text contains or is contained in (case-folded), and the numbers of both.  Inputs: sample_id, text."""
+    g = gold.groupBy("sample_id").agg(F.collect_list(F.lower("text")).alias("g"))
+    p = predicted.groupBy("sample_id").agg(F.collect_set(F.when(F.col("text") != "", F.lower("text"))).alias("u"), F.count("*").alias("extracted"))
+    both = g.join(p, "sample_id", "full_outer")
+    none = F.array().cast("array<string>")
+    both = both.withColumns({"g": F.coalesce("g", none), "u": F.coalesce("u", none)})
+    hit = F.filter("g", lambda x: F.exists("u", lambda y: F.contains(x, y) | F.contains(y, x)))
+    return both.select("sample_id", F.size(hit).cast("long").alias("correct"), F.coalesce("extracted", F.lit(0)).cast("long").alias("extracted"), F.size("g").cast("long").alias("expected"))
+
+
+def samples_of(tagged: DataFrame, text: str = "text") -> DataFrame:
+    """Training or evaluation samples of tagged texts: all columns, ``bare`` (the text without tags) and ``gold`` (its tags)."""
+    return tagged.withColumns({"bare": without_tags_with_id(F.col(text)), "gold": tags_with_id(F.col(text))})
+
+
+def evaluate_detector(docs: DataFrame, gold: DataFrame, detector, key: str = "sample_id", text: str = "text") -> DataFrame:
+    """Exact matches of a detector (text column to span array) against gold entities (key, text, phi_type)."""
+    found = docs.select(F.col(key).alias("sample_id"), F.explode(detector(F.col(text))).alias("s")).select("sample_id", "s.text", "s.phi_type")
+    return exact(gold.withColumnRenamed(key, "sample_id"), found)
 
 
 def set_metrics(gold: DataFrame, predicted: DataFrame, keys: tuple[str, ...] = ("phi_type", "text"), fold_case: bool = False) -> DataFrame:
@@ -86,7 +165,7 @@ def greedy_hits(gold: Column, predicted: Column) -> Column:
 
 def partial(gold: DataFrame, predicted: DataFrame, per_sample: bool = False) -> DataFrame:
     """Greedy containment matches per sample; types are not looked at.  Inputs: sample_id, seq, text.  A sample's entities form a row."""
-    text = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"])
+    text = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: compared(s["text"]))
     g, p = (x.groupBy("sample_id").agg(text(x).alias(n)) for x, n in ((gold, "g"), (predicted, "p")))
     both = g.join(p, "sample_id", "full_outer")
     none = F.array().cast("array<string>")
@@ -123,14 +202,15 @@ def tiered(gold: Column, found: Column) -> Column:
 
 
 def bio_entities(tokens: DataFrame, by: tuple[str, ...] = ("doc_id",), keep: tuple[str, ...] = ("PER", "LOC")) -> DataFrame:
-    """Entities of B- / I- / O tagged tokens (pos, token, tag) as islands: an I- continues a run of its type, anything else ends it."""
+    """Entities of B- / I- / O tagged tokens (pos, token, tag) as islands: a B- opens one, any I- after it goes on with it, whatever its type, an O ends it;
+    an I- with nothing to go on with is left out."""
     w = Window.partitionBy(*by).orderBy("pos")
-    kind = F.regexp_extract("tag", r"^[BI]-(.+)$", 1)
-    rows = tokens.withColumn("kind", kind).withColumn("last", F.lag("kind").over(w))
-    opens = F.col("tag").startswith("B-") | (F.col("tag").startswith("I-") & (F.coalesce("last", F.lit("")) != F.col("kind"))) | (F.col("tag") == "O")
-    rows = rows.withColumn("island", F.sum(opens.cast("int")).over(w)).filter(F.col("kind").isin(*keep))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
-    return rows.groupBy(*by, "island").agg(F.first("kind").alias("phi_type"), text.alias("text"), F.min("pos").alias("pos")).drop("island")
+    island = F.sum((F.col("tag").startswith("B-") | (F.col("tag") == "O")).cast("int")).over(w)
+    rows = tokens.withColumn("island", island).filter(F.col("tag") != "O")
+    each = rows.groupBy(*by, "island").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "tag"))).alias("r"))
+    first = F.regexp_extract(F.col("r")[0]["tag"], "^B-(.+)$", 1)
+    each = each.select(*by, first.alias("phi_type"), F.array_join(F.transform("r", lambda x: x["token"]), " ").alias("text"), F.col("r")[0]["pos"].alias("pos"))
+    return each.filter(F.col("phi_type").isin(*keep))
 
 
 def success_rate(results: DataFrame) -> DataFrame:

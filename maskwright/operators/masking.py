@@ -183,7 +183,7 @@ class MaskConfig:
 
     default_masking: str = "redact"
     types: Mapping[str, TypeConfig] = field(default_factory=dict)
-    secret: str = "change-me"
+    secret: str | None = None  #: needed where values are hashed
 
     def masking_of(self, phi_type: str) -> str:
         own = self.types.get(phi_type)
@@ -214,20 +214,55 @@ def configured(entities: DataFrame, config: MaskConfig) -> DataFrame:
     masking = F.coalesce(F.try_element_at(literal_map(known), kind), F.lit(config.masking_of(""))) if known else F.lit(config.masking_of(""))
     texts = {t: c.replace_with for t, c in config.types.items() if c.replace_with}
     replaced = F.try_element_at(literal_map(texts), kind) if texts else F.lit(None).cast("string")
-    return entities.filter(enabled).withColumn("masked", service_mask(F.col("text"), kind, masking, replaced, config.secret))
-
-
-def preset(name: str) -> MaskConfig:
-    """hipaa_standard, minimal or research."""
-    listed = {
-        "hipaa_standard": ("redact", ("NAME", "DATE", "PHONE", "FAX", "EMAIL", "SSN", "MEDICAL_RECORD_NUMBER", "ID", "LOCATION", "AGE_OVER_89", "URL", "IP_ADDRESS", "ACCOUNT_NUMBER")),
-        "minimal": ("redact", ("NAME", "SSN", "ID")),
-        "research": ("pseudonymize", ("NAME", "DATE", "PHONE", "EMAIL", "MEDICAL_RECORD_NUMBER", "ID", "LOCATION")),
-    }
-    if name not in listed:
-        raise ValueError(f"unknown preset {name}")
-    masking, types = listed[name]
-    return MaskConfig(default_masking=masking, types={t: TypeConfig() for t in types})
+    if config.secret is None and {"hash", "pseudonymize"} & {config.masking_of(t) for t in ("", *config.types)}:
+        raise ValueError("hashing needs a secret")
+    return entities.filter(enabled).withColumn("masked", service_mask(F.col("text"), kind, masking, replaced, config.secret or ""))
+
+
+# The presets' masking and, per type, its own masking (None: the type is off).
+PRESETS: dict[str, tuple[str, dict[str, str | None]]] = {
+    "hipaa_standard": (
+        "redact",
+        {
+            "NAME": "mask", "DATE": "mask", "PHONE": "mask", "FAX": "mask", "EMAIL": "mask", "SSN": "mask", "MEDICAL_RECORD": "mask", "ID_NUMBER": "mask", "ACCOUNT": "mask", "LICENSE": "mask",
+            "VEHICLE": "mask", "DEVICE": "mask", "URL": "mask", "IP": "mask", "BIOMETRIC": "mask", "PHOTO": "mask", "AGE_OVER_89": "mask", "ADDRESS": "mask", "LOCATION": "mask",
+        },
+    ),
+    "minimal": ("redact", {"NAME": "mask", "ID_NUMBER": "mask", "SSN": "mask", "MEDICAL_RECORD": "mask"}),
+    "research_safe": ("pseudonymize", {"NAME": "hash", "DATE": None, "PHONE": "mask", "EMAIL": "hash", "ADDRESS": "mask", "ID_NUMBER": "hash", "MEDICAL_RECORD": "hash"}),
+}
+#: the detectors' types that the presets' names stand for
+PRESET_TYPES = {"MEDICAL_RECORD": "MEDICAL_RECORD_NUMBER", "ID_NUMBER": "ID", "ACCOUNT": "ACCOUNT_NUMBER", "LICENSE": "CERTIFICATE", "DEVICE": "DEVICE_ID", "IP": "IP_ADDRESS", "ADDRESS": "LOCATION"}
+
+
+def preset(name: str, secret: str | None = None) -> MaskConfig:
+    """hipaa_standard, minimal or research_safe, under the detectors' type names (and the preset's own)."""
+    if name not in PRESETS:
+        raise ValueError(f"unknown preset {name}; there are {', '.join(sorted(PRESETS))}")
+    masking, listed = PRESETS[name]
+    types = {t: TypeConfig(enabled=m is not None, masking=m or "keep") for t, m in listed.items()}
+    return MaskConfig(default_masking=masking, types={**{PRESET_TYPES[t]: c for t, c in types.items() if t in PRESET_TYPES}, **types}, secret=secret)
+
+
+def to_json(config: MaskConfig) -> str:
+    """A configuration as JSON, without its secret."""
+    import json
+
+    return json.dumps({"masking_type": config.default_masking, "phi_types": {t: {"enabled": c.enabled, "masking": c.masking, "replace_with": c.replace_with} for t, c in config.types.items()}}, ensure_ascii=False, sort_keys=True)
+
+
+def from_json(text: str, secret: str | None = None) -> MaskConfig:
+    import json
+
+    read = json.loads(text)
+    return MaskConfig(default_masking=read.get("masking_type", "redact"), types={t: TypeConfig(**c) for t, c in read.get("phi_types", {}).items()}, secret=secret)
+
+
+def filtered_out(entities: DataFrame, config: MaskConfig) -> DataFrame:
+    """The entities that a configuration leaves unmasked, for the log: their types and numbers, never their texts."""
+    if not config.types:
+        return entities.limit(0).groupBy("phi_type").count()
+    return entities.filter(~F.col("phi_type").isin(*[t for t, c in config.types.items() if c.enabled])).groupBy("phi_type").count()
 
 
 def storage_safe(entities: DataFrame, raw_allowed: bool = False) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.plans.scratch import written
+
 MAX_QUERIES = 10_000  #: queries that may be broadcast at once; more are taken in blocks
 
 
@@ -27,26 +27,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the folder all executors share (a local one, for tests, where that is unset) and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="maskwright-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def blocks(queries: DataFrame) -> list[DataFrame]:
     """The queries in blocks of at most ``MAX_QUERIES``: themselves if they are so few, else written once with their numbers."""
     n = queries.count()
     if n <= MAX_QUERIES:
         return [queries]
     # numbers within a partition, then from the partitions before it: no task takes all rows
-    at = _written(queries.withColumn("__id", F.monotonically_increasing_id()), "queries").withColumn("__part", F.shiftright("__id", 33))
+    at = written(queries.withColumn("__id", F.monotonically_increasing_id()), "queries").withColumn("__part", F.shiftright("__id", 33))
     starts = at.groupBy("__part").count().withColumn("__start", F.sum("count").over(Window.orderBy("__part")) - F.col("count"))  # a row for each partition
     number = F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1)
     numbered = at.join(F.broadcast(starts.drop("count")), "__part").withColumn("__block", F.floor(number / MAX_QUERIES)).drop("__id", "__part", "__start")
-    numbered = _written(numbered, "blocks")
+    numbered = written(numbered, "blocks")
     return [numbered.filter(F.col("__block") == b).drop("__block") for b in range(-(-n // MAX_QUERIES))]
 
 
@@ -55,7 +46,7 @@ def _in_blocks(queries: DataFrame, reduce: Callable[[DataFrame], DataFrame]) ->
     each = blocks(queries)
     if len(each) == 1:
         return reduce(each[0])
-    out = [_written(reduce(b), "block") for b in each]
+    out = [written(reduce(b), "block") for b in each]
     while len(out) > 1:  # in pairs, so that the plan is no deeper than it has to be
         out = [out[i].unionByName(out[i + 1]) if i + 1 < len(out) else out[i] for i in range(0, len(out), 2)]
     return out[0]
@@ -124,6 +115,11 @@ def in_all_types(store: DataFrame, key: str, types: list) -> DataFrame:
     return store.filter(F.col("type").isin(*types)).groupBy(key).agg(F.count_distinct("type").alias("n")).filter(F.col("n") == len(set(types))).select(key)
 
 
+def top_by_score(store: DataFrame, k: int, key: str = "source") -> DataFrame:
+    """The k entries of largest stored ``score``; ties by key."""
+    return store.orderBy(F.desc("score"), key).limit(k)
+
+
 def keyword(store: DataFrame, word: str, text: str = "content") -> DataFrame:
     return store.filter(F.contains(F.lower(text), F.lit(word.lower())))
 

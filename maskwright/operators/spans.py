@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.operators.rules import PARITY, Rule
+from maskwright.operators.rules import GUARDS, PARITY, Rule
 
 FIELDS = ("phi_type", "text", "start_pos", "end_pos", "confidence", "tool", "rule_id", "seq")
 SPAN = "struct<phi_type:string,text:string,start_pos:int,end_pos:int,confidence:double,tool:string,rule_id:string,seq:int>"
@@ -51,8 +51,11 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def scan(text: Column, rules: Iterable[Rule] = PARITY) -> Column:
-    """Spans of all rules, by rule and place; nothing is resolved."""
-    each = [rule_spans(text, r, i) for i, r in enumerate(rules)]
+    """Spans of all rules; nothing is resolved.  Rules that need the same of a text share one test of it."""
+    groups: dict[str | None, list[Column]] = {}
+    for i, r in enumerate(rules):
+        groups.setdefault(r.needs, []).append(rule_spans(text, r, i))
+    each = [made if need is None else F.when(text.rlike(GUARDS[need]), made).otherwise(no_spans()) for need, made in ((n, F.concat(*g)) for n, g in groups.items())]
     return F.concat(*each) if each else no_spans()
 
 

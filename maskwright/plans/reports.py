@@ -55,6 +55,40 @@ def job_result(docs: DataFrame, most_errors: int = 10) -> DataFrame:
     return out.withColumn("success_ratio", F.round(F.coalesce(F.try_divide("succeeded", "documents"), F.lit(0.0)), 6)).withColumn("status", final_status(F.col("failed"), F.col("documents")))
 
 
+def batch_report(rows: DataFrame) -> DataFrame:
+    """Per file: rows, processed and failed ones, success ratio, entities and their mean per processed row, seconds and their mean per row.
+
+    ``rows``: file, ok, entities, seconds."""
+    ok = F.col("ok")
+    sums = rows.groupBy("file").agg(
+        F.count("*").alias("total_rows"), F.count_if(ok).alias("processed_rows"), F.count_if(~ok).alias("failed_rows"), F.coalesce(F.sum(F.when(ok, F.col("entities"))), F.lit(0)).cast("long").alias("entities"),
+        F.round(F.sum("seconds"), 6).alias("seconds"), F.round(F.avg("seconds"), 6).alias("mean_seconds"),
+    )
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 6)
+    return sums.withColumns({"success_ratio": share("processed_rows", "total_rows"), "mean_entities": share("entities", "processed_rows")})
+
+
+def summary_report(jobs: DataFrame) -> DataFrame:
+    """One row over jobs (job_id, total_rows, processed_rows, entities): sums, success ratio, and the jobs themselves, smallest id first."""
+    out = jobs.agg(
+        F.count("*").alias("jobs"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("total_rows", "processed_rows", "entities")],
+        F.array_sort(F.collect_list(F.struct("job_id", F.col("total_rows").alias("rows"), "entities"))).alias("each"),
+    )
+    return out.withColumn("success_ratio", F.round(F.coalesce(F.try_divide("processed_rows", "total_rows"), F.lit(0.0)), 6))
+
+
+def entity_rows(files: DataFrame) -> DataFrame:
+    """file, phi_type, value, masked, confidence of every entity in files (file, entities); missing values are shown as redacted."""
+    hidden = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("[REDACTED]"))
+    each = files.select("file", F.explode("entities").alias("e")).select("file", "e.*")
+    return each.select("file", F.coalesce("phi_type", F.lit("")).alias("phi_type"), hidden("value").alias("value"), hidden("masked").alias("masked"), "confidence")
+
+
+def types_by_count(spans: DataFrame) -> DataFrame:
+    """Types, the most frequent first."""
+    return spans.groupBy("phi_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phi_type")
+
+
 def final_status(failed: Column, total: Column) -> Column:
     return F.when((total > 0) & (failed == total), "failed").when(failed > 0, "partial").otherwise("completed")
 

@@ -1,11 +1,12 @@
 """Documents from files: path, format, content, error, and records where the format has them.
 
-Text formats are read by Spark's own readers; office formats are unpacked from their bytes in Arrow batches.  A file that cannot be
-read becomes a row with ``error`` (the failure's class, never its message).
+Files of all formats are read as bytes and unpacked in Arrow batches of a few files each; ``read_text`` and ``read_csv`` use Spark's own readers for large
+ones.  A file that cannot be read becomes a row with ``error`` (the failure's class, never its message).
 """
 
 from __future__ import annotations
 
+import csv
 import html
 import io
 import json
@@ -52,6 +53,7 @@ def files(spark: SparkSession, path: str, glob: str | None = None, recursive: bo
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def docx_text(data: bytes) -> str:
@@ -63,18 +65,25 @@ def docx_text(data: bytes) -> str:
     return "\n".join([*lines, *(["--- Tables ---", *rows] if rows else [])])
 
 
-def xlsx_rows(data: bytes) -> dict[str, list[list[str]]]:
-    """Cells as text by sheet; missing cells are ''."""
+def xlsx_rows(data: bytes, only: str | None = None) -> dict[str, list[list[str]]]:
+    """Cells as text by sheet (``only`` one of them, which must be there); missing cells are ''.  Sheets are found by the workbook's relations."""
     book = zipfile.ZipFile(io.BytesIO(data))
     names = book.namelist()
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{_S}si")]
-    titles = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+    titles = [(s.get("name"), s.get(f"{_R}id")) for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_S}sheet")]
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    if only is not None and only not in [t for t, _ in titles]:
+        raise KeyError(only)
     out = {}
-    for i, title in enumerate(titles, 1):
-        rows = []
-        for r in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{_S}row"):
+    for i, (title, relation) in enumerate(titles, 1):
+        if only not in (None, title):
+            continue
+        rows, target = [], targets.get(relation, f"worksheets/sheet{i}.xml")
+        for r in ElementTree.fromstring(book.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter(f"{_S}row"):
             cells: dict[int, str] = {}
             for c in r.findall(f"{_S}c"):
                 letters = re.match("[A-Z]+", c.get("r", "A")).group()
@@ -127,8 +136,25 @@ def xml_value(node: ElementTree.Element):
     return out | ({"#text": text} if text else {})
 
 
-def _sheet_text(data: bytes) -> str:
-    return "\n".join(f"[{sheet}] " + ", ".join(f"{k}: {v}" for k, v in r.items()) for sheet, rows in xlsx_rows(data).items() for r in records_of(rows))
+def sheet_reader(only: str | None = None, skip: int = 0) -> Callable[[bytes], str]:
+    """A reader of sheets, or of one, whose header row comes after ``skip`` rows: '[sheet] name: value, ...' lines; for ``load(readers=...)``."""
+
+    def read(data: bytes) -> str:
+        return "\n".join(f"[{sheet}] " + ", ".join(f"{k}: {v}" for k, v in r.items()) for sheet, rows in xlsx_rows(data, only).items() for r in records_of(rows, skip))
+
+    return read
+
+
+def csv_reader(header: bool = True, sep: str = ",", quote: str = '"') -> Callable[[bytes], str]:
+    """A reader of delimited text: 'name: value, ...' lines under a header, else each row's cells joined."""
+
+    def read(data: bytes) -> str:
+        rows = [r for r in csv.reader(io.StringIO(_decode(data)), delimiter=sep, quotechar=quote) if r]
+        if not header:
+            return "\n".join(", ".join(r) for r in rows)
+        return "\n".join(", ".join(f"{h}: {r[i] if i < len(r) else ''}" for i, h in enumerate(rows[0])) for r in rows[1:])
+
+    return read
 
 
 def _decode(data: bytes) -> str:
@@ -147,7 +173,8 @@ def _missing(name: str) -> Callable[[bytes], str]:
 
 READERS: dict[str, Callable[[bytes], str]] = {
     "docx": docx_text,
-    "xlsx": _sheet_text,
+    "xlsx": sheet_reader(),
+    "csv": csv_reader(),
     "xml": lambda d: "\n".join(xml_lines(ElementTree.fromstring(d))),
     "json": lambda d: json.dumps(json.loads(_decode(d)), indent=2, ensure_ascii=False),
     "fhir": lambda d: json.dumps(json.loads(_decode(d)), indent=2, ensure_ascii=False),
@@ -213,12 +240,38 @@ def plain(columns: list[str]) -> Column:
     return F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
 
 
-def case_id(column: str | None, row: Column) -> Column:
-    """The named column, else Row-n."""
+def case_id(column: str | None, row: Column, columns: list[str] | None = None) -> Column:
+    """The named column, else the first of the table's ``columns``, else Row-n."""
+    column = column or (columns[0] if columns else None)
     numbered = F.concat(F.lit("Row-"), row.cast("string"))
     return F.coalesce(F.col(column).cast("string"), numbered) if column else numbered
 
 
+def rows_to_process(table: DataFrame, text: Column, limit: int | None = None, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with a text, rows without one) of the first ``limit`` rows in an order; the limit is the caller's."""
+    some = table.withColumn("text", text)
+    some = some if limit is None else some.orderBy(*(order or table.columns)).limit(limit)
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    return some.filter(~blank), some.filter(blank)
+
+
+def page_totals(table: DataFrame, size: int) -> DataFrame:
+    """One row: rows and pages of a preview."""
+    return table.agg(F.count("*").alias("rows")).select("rows", F.ceil(F.col("rows") / size).cast("long").alias("pages"))
+
+
+def fhir_metadata(content: Column) -> Column:
+    """struct(resource_type, resource_id) of a FHIR resource, nulls for other JSON."""
+    v = F.try_parse_json(content)
+    return F.struct(F.try_variant_get(v, "$.resourceType", "string").alias("resource_type"), F.try_variant_get(v, "$.id", "string").alias("resource_id"))
+
+
+def read_text(spark: SparkSession, path: str, keep_spaces: bool = False) -> DataFrame:
+    """path, content and size of whole text files, by Spark's own reader."""
+    found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_modification_time").alias("modified"))
+    return found if keep_spaces else found.withColumn("content", collapse(F.col("content")))
+
+
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 

@@ -29,8 +29,8 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Lines of a markdown table; bars in cells are escaped."""
-    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    """Lines of a markdown table; bars in cells are escaped, line breaks become spaces."""
+    cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")).alias("line"))
 
 
@@ -61,7 +61,7 @@ def patched_csv(data: bytes, pairs: list[tuple[str, str]]) -> bytes:
     else:
         text = data.decode("utf-8", "replace")
     try:
-        dialect: type[csv.Dialect] | csv.Dialect = csv.Sniffer().sniff(text[:4096])
+        dialect: type[csv.Dialect] | csv.Dialect = csv.Sniffer().sniff(text[:65536], delimiters=",;\t|")
     except csv.Error:
         dialect = csv.excel
     out = io.StringIO()
@@ -69,25 +69,44 @@ def patched_csv(data: bytes, pairs: list[tuple[str, str]]) -> bytes:
     return out.getvalue().encode("utf-8-sig")
 
 
-def patched_zip(data: bytes, pairs: list[tuple[str, str]], parts: tuple[str, ...], tag: str) -> bytes:
-    """An office file with the text of one XML tag masked in the named parts; everything else is copied."""
-    import re
-    from xml.sax.saxutils import escape, unescape
-
+def patched_zip(data: bytes, pairs: list[tuple[str, str]], parts: dict[str, str], tag: str) -> bytes:
+    """An office file with the text of one XML tag masked in the named parts (each with the element whose runs of text belong together); everything else is copied."""
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(data)) as book, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
         for item in book.infolist():
             raw = book.read(item.filename)
-            if item.filename.startswith(parts):
-                raw = re.sub(rf"(<{tag}(?:\s[^>]*)?>)([^<]*)(</{tag}>)", lambda m: m[1] + escape(_replaced(unescape(m[2]), pairs)) + m[3], raw.decode("utf-8")).encode("utf-8")
+            for part, unit in parts.items():
+                if item.filename.startswith(part):
+                    raw = _over_runs(raw.decode("utf-8"), tag, unit, pairs).encode("utf-8")
             new.writestr(item, raw)
     return out.getvalue()
 
 
+def _over_runs(raw: str, tag: str, unit: str, pairs: list[tuple[str, str]]) -> str:
+    """Within each ``unit`` element (a paragraph, a shared string), text elements are masked one by one; where a value stands across several, the whole
+    masked text goes into the first and the others are emptied."""
+    import re
+    from xml.sax.saxutils import escape, unescape
+
+    text = re.compile(rf"(<{tag}(?:\s[^>]*)?>)([^<]*)(</{tag}>)")
+
+    def one(m: re.Match) -> str:
+        whole = m.group()
+        joined = unescape("".join(t[1] for t in text.findall(whole)))
+        alone = "".join(_replaced(unescape(t[1]), pairs) for t in text.findall(whole))
+        masked = _replaced(joined, pairs)
+        if masked == alone:
+            return text.sub(lambda t: t[1] + escape(_replaced(unescape(t[2]), pairs)) + t[3], whole)
+        rest = iter([masked])
+        return text.sub(lambda t: t[1] + escape(next(rest, "")) + t[3], whole)
+
+    return re.sub(rf"(?s)<{unit}(?:\s[^>]*)?>.*?</{unit}>", one, raw)
+
+
 def masked_files(files: DataFrame, pairs: DataFrame) -> DataFrame:
-    """path, bytes of files with their pairs applied, by format.  ``files``: path, format, bytes.  ``pairs``: path, value, masked.
+    """path, bytes, error of files with their pairs applied, by format.  ``files``: path, format, bytes.  ``pairs``: path, value, masked.
 
-    Unknown formats come back with null bytes.
+    Unknown formats come back with null bytes, broken files with null bytes and the failure's class.
     """
     listed = pairs.groupBy("path").agg(F.collect_list(F.struct("value", "masked")).alias("pairs"))
 
@@ -96,20 +115,35 @@ def masked_files(files: DataFrame, pairs: DataFrame) -> DataFrame:
             out = []
             for f, data, some in zip(pdf["format"], pdf["bytes"], pdf["pairs"], strict=True):
                 p = [(x["value"], x["masked"]) for x in some] if some is not None else []
-                data = bytes(data)
-                if f == "csv":
-                    out.append(patched_csv(data, p))
-                elif f in ("text", "json", "xml", "html", "fhir"):
-                    out.append(_replaced(data.decode("utf-8", "replace"), p).encode())
-                elif f == "xlsx":
-                    out.append(patched_zip(data, p, ("xl/sharedStrings.xml", "xl/worksheets/"), "t"))
-                elif f == "docx":
-                    out.append(patched_zip(data, p, ("word/document.xml",), "w:t"))
-                else:
-                    out.append(None)
-            yield pd.DataFrame({"path": pdf["path"], "bytes": out})
-
-    return files.join(listed, "path", "left").select("path", "format", "bytes", "pairs").mapInPandas(patch, "path string, bytes binary")
+                try:
+                    out.append((patched(f, bytes(data), p), None))
+                except Exception as e:  # one broken file does not end the others
+                    out.append((None, type(e).__name__))
+            yield pd.DataFrame({"path": pdf["path"], "bytes": [b for b, _ in out], "error": [e for _, e in out]})
+
+    return files.join(listed, "path", "left").select("path", "format", "bytes", "pairs").mapInPandas(patch, "path string, bytes binary, error string")
+
+
+def patched(format: str, data: bytes, pairs: list[tuple[str, str]]) -> bytes | None:
+    """A file's bytes with the pairs applied; None for formats that are not known."""
+    if format == "csv":
+        return patched_csv(data, pairs)
+    if format in ("text", "json", "xml", "html", "fhir"):
+        return _replaced(data.decode("utf-8", "replace"), pairs).encode()
+    if format == "xlsx":
+        return patched_zip(data, pairs, {"xl/sharedStrings.xml": "si", "xl/worksheets/": "is"}, "t")
+    if format == "docx":
+        return patched_zip(data, pairs, {"word/document.xml": "w:p"}, "w:t")
+    return None
+
+
+def delete_expired(spark, listing: DataFrame, now: Column, hours: float, most: int = 100_000) -> int:
+    """Delete the expired files of a listing, at most ``most`` at a time (call again for the rest); how many were deleted."""
+    gone = 0
+    for row in expired(listing, now, hours).select("path").limit(most).toLocalIterator():
+        path = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False))
+    return gone
 
 
 def expired(listing: DataFrame, now: Column, hours: float) -> DataFrame:

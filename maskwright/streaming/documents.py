@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
@@ -47,9 +49,41 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> dict:
     return {"batches": len(query.recentProgress), "rows": sum(p["numInputRows"] for p in query.recentProgress)}
 
 
+def progress(done: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document: chunks, those that are done, percentage and whether it is complete.  ``done`` and ``chunks``: key, chunk_id."""
+    total = chunks.groupBy(key).agg(F.count("*").alias("total"))
+    ready = done.dropDuplicates([key, "chunk_id"]).groupBy(key).agg(F.count("*").alias("done"))
+    out = total.join(ready, key, "left").select(key, "total", F.coalesce("done", F.lit(0)).cast("long").alias("done"))
+    return out.withColumns({"percent": F.round(F.least(100.0 * F.col("done") / F.col("total"), F.lit(100.0)), 6), "complete": F.col("done") >= F.col("total")})
+
+
+def reset(spark: SparkSession, checkpoint: str) -> bool:
+    """Forget a query's progress: its checkpoint folder goes; whether there was one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def with_errors(chunks: DataFrame, step: Column, out: str, check: Column) -> DataFrame:
+    """``out`` by ``step`` where ``check`` holds, else null and an ``error``: a faulty chunk does not end the others."""
+    return chunks.withColumns({out: F.when(F.coalesce(check, F.lit(False)), step), "error": F.when(~F.coalesce(check, F.lit(False)), F.lit("invalid_chunk"))})
+
+
+def write_batches(df: DataFrame, output: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Each micro-batch given to ``output`` (batch, number), once per checkpoint if ``output`` is idempotent by number."""
+    return df.writeStream.foreachBatch(output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def on_discovery(known: DataFrame, callback: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """An output for ``write_batches`` that calls back with the types of a batch (phi_type) which ``known`` (name) lacks."""
+    from maskwright.functions.types import discovered
+
+    return lambda batch, number: callback(discovered(batch.select("phi_type"), known))
+
+
 def fingerprints(files: DataFrame) -> DataFrame:
-    """path and the hash of a file's first MiB: a changed file is a new input.  ``files``: path, bytes."""
-    return files.select("path", F.sha2(F.substring("bytes", 1, 1 << 20), 256).alias("fingerprint"))
+    """path and a hash of a file's length, time and first MiB: a changed file is a new input.  ``files``: path, length, modified, bytes."""
+    head = F.sha2(F.substring("bytes", 1, 1 << 20), 256)
+    return files.select("path", F.sha2(F.concat_ws("|", F.col("length").cast("string"), F.col("modified").cast("string"), head), 256).alias("fingerprint"))
 
 
 def to_process(files: DataFrame, manifest: DataFrame) -> DataFrame:

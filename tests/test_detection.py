@@ -104,11 +104,11 @@ def test_identifier_checksum(spark):
         if re.fullmatch("[A-Z][12][0-9]{8}", v):
             n = identifiers.LETTER_CODES[v[0]]
             digits = [n // 10, n % 10, *map(int, v[1:])]
-            return sum(x * w for x, w in zip(digits, identifiers.WEIGHTS, strict=True)) % 10 == 0, "NATIONAL_ID"
-        return (True, "RESIDENT_CERTIFICATE") if re.fullmatch("[A-Z]{2}[0-9]{8}", v) else (False, "UNKNOWN")
+            return sum(x * w for x, w in zip(digits, identifiers.WEIGHTS, strict=True)) % 10 == 0, "TW_NATIONAL_ID"
+        return (True, "TW_ARC") if re.fullmatch("[A-Z]{2}[0-9]{8}", v) else (False, "UNKNOWN")
 
     assert got == [expected(v) for v in ids]
-    assert got[0] == (True, "NATIONAL_ID")
+    assert got[0] == (True, "TW_NATIONAL_ID")
 
 
 def test_phones_claim_text_in_order_and_take_their_context(spark):
