@@ -4,14 +4,19 @@ A gear hash rolls over the text's bytes: h = 2 h + gear[byte], of which the bits
 alone.  A chunk ends where these bits are zero (one byte in ``average``), so the same passage is cut alike wherever it stands and
 insertions before it do not shift its chunks.  A stretch without a cut is cut every ``longest`` bytes from its start.
 
-Chunks are compared by digest in one packed shuffle of (digest, document, place).  A digest found more than once marks all its chunks
-as repeated and all but its first occurrence (smallest doc_id, then smallest place) as droppable.  Neighbouring chunks
-make a run; runs shorter than ``min_chars`` code points are let be, since single short chunks repeat by chance.  Hot digests are
-combined within each task, and a digest's occurrences leave the reducer as one row each.
-
-Defined results: null and empty texts have no chunks and stay; rows without a ``doc_id`` stay unchanged, with no spans; a ``doc_id`` must
-not stand for different texts (equal rows of one id are one document: all stay, and their chunks count once); input columns named like
-the added ones give way to them.
+A window begins at each chunk and ends with the chunk that takes it to ``min_chars`` code points.  Windows are compared by 128-bit digests of
+their bytes, which decide (texts are not compared again), in one packed shuffle of (digest, document, place).  A digest found more than once
+marks all its windows as repeated and all but its first occurrence (smallest doc_id, then smallest place) as droppable, so each code point
+that goes lies in a stretch of ``min_chars`` and more that stands, character by character, at an earlier place too.  Windows that touch make a run.
+Occurrences from the third on within a task's flush are repeated and not first for certain: they pass by the others, so a common window
+sends two rows a flush to the task where its digest meets, and a digest's occurrences leave it as one row each.
+
+Of a repeated passage the chunk it begins in (cuts agree 32 bytes on at the latest) and those it ends in may stay; of a stretch that repeats
+itself its first chunk stays.
+
+Defined results: null and empty texts have no chunks and stay, as do texts shorter than ``min_chars``; rows without a ``doc_id`` stay unchanged, with
+no spans; a ``doc_id`` must not stand for different texts (equal rows of one id are one document: all stay, and their windows count
+once); input columns named like the added ones give way to them; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -51,23 +56,27 @@ def cuts(data: bytes, average: int, longest: int) -> np.ndarray:
     return ends
 
 
-def digests(data: bytes, ends: np.ndarray) -> np.ndarray:
-    starts = np.concatenate([[0], ends[:-1]])
-    hash_of = xxhash.xxh3_64_intdigest
-    return np.fromiter((hash_of(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends))
+def windows(data: bytes, ends: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests, as (n, 2) uint64, and codes (start << 16 | size, in code points) of the windows of at least ``least`` code points."""
+    starts = np.concatenate([[0], places[:-1]])
+    last = np.searchsorted(places, starts + least)
+    whole = last < len(places)
+    starts, last = starts[whole], last[whole]
+    begins = np.concatenate([[0], ends[:-1]])[whole]
+    digest = xxhash.xxh3_128_digest
+    raw = b"".join([digest(data[a:b]) for a, b in zip(begins.tolist(), ends[last].tolist(), strict=True)])
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2), starts << 16 | (places[last] - starts)
 
 
-def runs(codes: np.ndarray, least: int) -> list[int]:
-    """Starts and ends, in turn, of joined neighbouring chunks of at least ``least`` code points.  ``codes``: start << 20 | size << 1 | first."""
+def runs(codes: np.ndarray) -> list[int]:
+    """Starts and ends, in turn, of the union of windows.  ``codes``: start << 20 | size << 1 | first."""
     codes = np.unique(codes)
-    start = codes >> 20
-    end = start + ((codes >> 1) & 0x7FFFF)
     if not len(codes):
         return []
-    opens = np.concatenate([[True], start[1:] != end[:-1]])
-    a, b = start[opens], end[np.concatenate([opens[1:], [True]])]
-    long = b - a >= least
-    return np.stack([a[long], b[long]], 1).ravel().tolist()
+    start = codes >> 20
+    end = np.maximum.accumulate(start + ((codes >> 1) & 0x7FFFF))
+    opens = np.concatenate([[True], start[1:] > end[:-1]])
+    return np.stack([start[opens], end[np.concatenate([opens[1:], [True]])]], 1).ravel().tolist()
 
 
 def code_point_ends(data: bytes, ends: np.ndarray) -> np.ndarray:
@@ -76,38 +85,41 @@ def code_point_ends(data: bytes, ends: np.ndarray) -> np.ndarray:
     return started[ends - 1]
 
 
-def repeated_chunks(docs: DataFrame, average: int = 20, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc and code (start << 20 | size << 1 | whether this is the digest's first occurrence; code points) of every chunk whose digest occurs twice or more."""
+def repeated_windows(docs: DataFrame, min_chars: int = 128, average: int = 20, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc and code (start << 20 | size << 1 | whether this is the digest's first occurrence; code points) of every window whose digest occurs twice or more."""
     base = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null")
     parts = max(1, math.ceil(text_bytes(docs, text) / average / ENTRIES))
-    combine = 1024
+
+    def ordered(key: np.ndarray, doc: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, documents and spans sorted, equal rows once, and where a key begins."""
+        order = np.lexsort((span, doc, key[:, 1], key[:, 0]))
+        key, doc, span = key[order], doc[order], span[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])
+        other = np.concatenate([[True], new[1:] | (doc[1:] != doc[:-1]) | (span[1:] != span[:-1])])
+        return key[other], doc[other], span[other], new[other]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def flush() -> pd.DataFrame:
-            key, doc, span = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.lexsort((span, doc, key))
-            key, doc, span = key[order], doc[order], span[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
+            key, doc, span, new = ordered(*(np.concatenate([h[i] for h in held]) for i in range(3)))
             starts = np.flatnonzero(new)
-            run = np.cumsum(new) - 1
-            # from the third on, occurrences are repeated for certain and not first: they need not meet others
-            hot = (np.bincount(run)[run] > combine) & (np.arange(len(key)) - starts[run] > 1)
-            rows = [(p, x[0], x[1], x[2], None) for p, x in split_packed(key[~hot], parts, doc[~hot], span[~hot])]
-            if hot.any():
-                rows.append((int(key[0] % np.uint64(parts)), None, None, None, np.stack([doc[hot], span[hot]]).tobytes()))
-            return pd.DataFrame(rows, columns=["p", "key", "doc", "span", "hot"])
+            third = np.arange(len(key)) - starts[np.cumsum(new) - 1] > 1
+            rest = ~third
+            rows = [(p, x[0], x[1], x[2], x[3], None) for p, x in split_packed(key[rest, 0], parts, key[rest, 1], doc[rest], span[rest])]
+            if third.any():
+                rows.append((int(key[0, 0] % np.uint64(parts)), None, None, None, None, np.stack([doc[third], span[third]]).tobytes()))
+            return pd.DataFrame(rows, columns=["p", "key", "low", "doc", "span", "more"])
 
         for pdf in batches:
             for d, t in zip(pdf["d"].tolist(), pdf["t"], strict=True):
                 data = t.encode("utf-8", "surrogatepass")
                 ends = cuts(data, average, longest)
                 if len(ends):
-                    places = code_point_ends(data, ends)
-                    sizes = np.diff(places, prepend=0)
-                    held.append((digests(data, ends), np.full(len(ends), d, np.int64), (places - sizes) << 16 | sizes))
-                    size += len(ends)
+                    keys, codes = windows(data, ends, code_point_ends(data, ends), min_chars)
+                    if len(codes):
+                        held.append((keys, np.full(len(codes), d, np.int64), codes))
+                        size += len(codes)
                 if size > 200_000:
                     yield flush()
                     held, size = [], 0
@@ -115,41 +127,36 @@ def repeated_chunks(docs: DataFrame, average: int = 20, longest: int = 256, text
             yield flush()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        some = pdf[pdf["key"].notna()]
-        key = np.frombuffer(b"".join(some["key"]), np.uint64)
-        doc, span = np.frombuffer(b"".join(some["doc"]), np.int64), np.frombuffer(b"".join(some["span"]), np.int64)
-        order = np.lexsort((span, doc, key))
-        key, doc, span = key[order], doc[order], span[order]
-        if len(key):  # equal rows
-            other = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (span[1:] != span[:-1])])
-            key, doc, span = key[other], doc[other], span[other]
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        again = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if len(key) else new
-        out = [(doc[again], span[again], new[again])]
-        for hot in pdf["hot"].dropna():
-            d, s = np.frombuffer(hot, np.int64).reshape(2, -1)
+        some, out = pdf[pdf["key"].notna()], []
+        if len(some):
+            key = np.stack([np.frombuffer(b"".join(some[c]), np.uint64) for c in ("key", "low")], 1)
+            key, doc, span, new = ordered(key, *(np.frombuffer(b"".join(some[c]), np.int64) for c in ("doc", "span")))
+            run = np.cumsum(new) - 1
+            again = np.bincount(run)[run] > 1
+            out.append((doc[again], span[again], new[again]))
+        for more in pdf["more"].dropna():
+            d, s = np.frombuffer(more, np.int64).reshape(2, -1)
             out.append((d, s, np.zeros(len(d), bool)))
         doc, span, first = (np.concatenate([o[i] for o in out]) for i in range(3))
         return pd.DataFrame({"doc": doc, "code": (span >> 16) << 20 | (span & 0xFFFF) << 1 | first})
 
-    dealt = base.mapInPandas(deal, "p int, key binary, doc binary, span binary, hot binary")
+    dealt = base.mapInPandas(deal, "p int, key binary, low binary, doc binary, span binary, more binary")
     return dealt.groupBy("p").applyInPandas(meet, "doc long, code long")
 
 
 def drop_repeats(docs: DataFrame, min_chars: int = 128, average: int = 20, longest: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` with the text less its droppable runs, and repeated, dropped (spans in code points), n_repeated, n_dropped (code points).
 
-    ``repeated`` has every run of chunks that occur elsewhere too, its first occurrence included; ``dropped`` those of which an earlier
-    occurrence is kept.
+    ``repeated`` has every run of windows that occur elsewhere too, first occurrences included; ``dropped`` those of windows that occur earlier.
     """
     docs = without(docs, "repeated", "dropped", "n_repeated", "n_dropped")
-    found = repeated_chunks(docs, average, longest, text, doc_id)
+    found = repeated_windows(docs, min_chars, average, longest, text, doc_id)
 
     @F.pandas_udf("r array<long>, x array<long>")
     def joined_runs(codes: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"r": [runs(c, min_chars) for c in codes], "x": [runs(c[c & 1 == 0], min_chars) for c in codes]})
+        return pd.DataFrame({"r": [runs(c) for c in codes], "x": [runs(c[c & 1 == 0]) for c in codes]})
 
-    # a row per document with a repeated chunk; its codes are as many as its own chunks
+    # a row per document with a repeated window; its codes are no more than its own chunks
     own = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("code").alias("codes"))
     spans = own.select("__doc", joined_runs("codes").alias("s")).select("__doc", F.col("s.r").alias("__r"), F.col("s.x").alias("__x"))
     spans = materialize(spans.filter(F.size("__r") > 0), "spans")
