@@ -183,14 +183,14 @@ def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tool calls and results as the conversations table implies them: each assistant turn calls a tool on its own text, the turn after it
+    """Tool calls and results as the conversations table implies them: each assistant turn calls a tool on its own whole text, the turn after it
     holds the result, and calls refer to the call before them.  Lengths decide which are left faulty."""
-    n = F.length(F.coalesce(F.col("text"), F.lit("")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n = F.length(text)
     call_id = F.concat(F.lit("c"), F.col("turn").cast("string"))
-    word = F.regexp_replace(F.regexp_extract(F.coalesce(F.col("text"), F.lit("")), r"([^\x20\x09-\x0D]+)", 1), r'[\\"]', "")
     limit = F.when(n % 11 == 0, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).otherwise((n % 50).cast("string"))
-    ref = F.when(F.col("turn") >= 3, F.concat(F.lit(', "after": "$c'), (F.col("turn") - 2).cast("string"), F.lit('"'))).otherwise(F.lit(""))
-    arguments = F.concat(F.lit('{"query": "'), word, F.lit('", "limit": '), limit, ref, F.when(n % 97 == 0, F.lit("")).otherwise(F.lit("}")))
+    ref = F.when(F.col("turn") >= 3, F.concat(F.lit(', "after": {"$ref": "c'), (F.col("turn") - 2).cast("string"), F.lit('"}'))).otherwise(F.lit(""))
+    arguments = F.concat(F.lit('{"query": '), tool_calls.json_string(text), F.lit(', "limit": '), limit, ref, F.when(n % 97 == 0, F.lit("")).otherwise(F.lit("}")))
     name = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("rank")), (n % 3 + 1).cast("int"))
     calls = turns.filter("role = 'assistant'").select("conv_id", "turn", call_id.alias("call_id"), name.alias("name"), arguments.alias("arguments"))
     answer = F.concat(F.lit("c"), (F.col("turn") - 1).cast("string"))
@@ -206,4 +206,72 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "call_id", "name", "level", "status", F.array_join("errors", ",").alias("errors"), "json")
 
 
+OP5_SQL = r"""
+WITH RECURSIVE turns AS (SELECT conv_id, turn, role, text, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM conversations),
+c AS (
+  SELECT *, CASE WHEN n % 97 = 0 OR turn < 3 THEN NULL ELSE turn - 2 END AS ref, n % 97 = 0 AS broken,
+         CASE WHEN n % 11 = 0 THEN '"' || n || '"' ELSE CAST(n % 50 AS VARCHAR) END AS lim, ['search', 'lookup', 'rank'][n % 3 + 1] AS name
+  FROM turns WHERE role = 'assistant'
+), linked AS (SELECT c.*, c.ref IS NOT NULL AND p.turn IS NULL AS missing, p.turn AS known FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.ref),
+lev AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) AS level FROM linked WHERE known IS NULL
+  UNION ALL SELECT l.conv_id, l.turn, v.level + 1 FROM lev v JOIN linked l ON l.conv_id = v.conv_id AND l.known = v.turn
+), res AS (SELECT conv_id, turn, text FROM turns WHERE role = 'user' AND turn > 0),
+made AS (
+  SELECT l.conv_id, l.turn, 'c' || l.turn AS call_id, l.name, level,
+    CASE WHEN missing THEN 'unknown_reference' WHEN broken THEN 'invalid_json' WHEN n % 11 = 0 THEN 'invalid_arguments' WHEN r.turn IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+    CASE WHEN NOT broken AND n % 11 = 0 THEN 'type:limit' ELSE '' END AS errors,
+    '{"arguments":' || CASE WHEN broken THEN CAST(to_json('{"query": ' || CAST(to_json(t) AS VARCHAR) || ', "limit": ' || lim || CASE WHEN l.turn >= 3 THEN ', "after": {"$ref": "c' || (l.turn - 2) || '"}' ELSE '' END) AS VARCHAR)
+      ELSE '{' || CASE WHEN ref IS NULL THEN '' ELSE '"after":{"$ref":"c' || ref || '"},' END || '"limit":' || lim || ',"query":' || CAST(to_json(t) AS VARCHAR) || '}' END
+      || ',"id":"c' || l.turn || '","name":"' || l.name || '","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS json
+  FROM linked l JOIN lev USING (conv_id, turn) LEFT JOIN res r ON r.conv_id = l.conv_id AND r.turn = l.turn + 1
+)
+SELECT * FROM made UNION ALL
+SELECT r.conv_id, r.turn, 'c' || (r.turn - 1), NULL, NULL, 'orphan_result', '', '{"id":"c' || (r.turn - 1) || '","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}'
+FROM res r LEFT JOIN c ON c.conv_id = r.conv_id AND c.turn = r.turn - 1 WHERE c.turn IS NULL
+"""
+
+
 QUERIES |= {"op3_surrogates": op3_surrogates, "op5_tool_calls": op5_tool_calls}
+SQL["op5_tool_calls"] = OP5_SQL
+
+
+# ---------------------------------------------------------------- the columns of operators 1 and 7 that SQL can express, through the operators
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LICENSE_BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+p AS (SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) t(p, label)),
+h AS (SELECT doc_id, i, label FROM d, p, unnest(range(1, len(w) - len(p) + 2)) AS u(i) WHERE len(w) >= len(p) AND w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+a AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word, coalesce(s, '') AS base_labels
+FROM d LEFT JOIN a USING (doc_id)
+"""
+QUALITY_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r WHERE n > 1) GROUP BY doc_id),
+s AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact phrases of operator 1 alone."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and base rules of operator 7 alone, without its estimate."""
+    out = robust_outliers.with_statistics(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *robust_outliers.STATISTICS, robust_outliers.base_failed().alias("base_failed"))
+
+
+QUERIES |= {"license_base": license_base, "quality_base": quality_base}
+SQL |= {"license_base": LICENSE_BASE_SQL, "quality_base": QUALITY_BASE_SQL}

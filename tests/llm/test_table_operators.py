@@ -69,8 +69,8 @@ def test_distinct_values_have_distinct_surrogates(spark, map_limit):
 
 def test_tool_calls_are_linked_ordered_and_checked(spark):
     calls = [
-        (1, 1, "a", "search", '{"b": 1, "a": "x"}'), (1, 2, "b", "search", '{"a": "$a", "b": 2}'), (1, 3, "c", "search", '{"a": "$b", "b": "2"}'),
-        (1, 4, "d", "search", '{"a": "$e", "b": 1}'), (1, 5, "e", "search", '{"a": "$d", "b": 1}'), (1, 6, "f", "search", '{"a": "$zz", "b": 1}'),
+        (1, 1, "a", "search", '{"b": 1, "a": "x"}'), (1, 2, "b", "search", '{"a": {"$ref": "a"}, "b": 2}'), (1, 3, "c", "search", '{"a": {"$ref": "b"}, "b": "2"}'),
+        (1, 4, "d", "search", '{"a": {"$ref": "e"}, "b": 1}'), (1, 5, "e", "search", '{"a": {"$ref": "d"}, "b": 1}'), (1, 6, "f", "search", '{"a": {"$ref": "zz"}, "b": 1}'),
         (1, 7, "g", "nope", "{}"), (1, 8, "h", "search", "{bad"), (1, 9, "i", "search", '{"a": "q", "b": 1, "c": null}'), (1, 10, "j", "search", '{"a": "q", "b": 3}'),
         (2, 1, "a", "search", '{"a": "other", "b": 1}'), (2, 2, "a", "search", '{"a": "again", "b": 1}'), (None, 1, "a", "search", '{"a": "q", "b": 1}'), (3, 1, None, None, None),
     ]
