@@ -111,7 +111,8 @@ def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, text:
                 at = _bits(np.frombuffer(b"".join([_digest(k) for _, k in rows]), np.uint64).reshape(-1, 2), bits, hashes)
                 hit = ((twice[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(1)
                 some = [rows[i] for i in np.flatnonzero(hit)]
-                yield pd.DataFrame({"d": pd.Series([d for d, _ in some], dtype="int64"), "key": [k.decode("utf-8", "surrogatepass") for _, k in some]})
+                if some:
+                    yield pd.DataFrame({"d": pd.Series([d for d, _ in some], dtype="int64"), "key": [k.decode("utf-8", "surrogatepass") for _, k in some]})
 
     ids = docs.select(F.coalesce(F.col(doc_id), F.lit(-1)).cast("long").alias("d"), F.col(text).alias("t"))
     found = ids.mapInPandas(suspects, "d long, key string")
