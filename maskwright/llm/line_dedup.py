@@ -8,7 +8,7 @@ Pass 3 drops the confirmed lines.
 
 The filters are sized for the lines there are, up to ``max_filter_bits`` (32 MiB by default): beyond that they
 fill up and more keys are suspected, which costs shuffle and never changes a result.  The confirmed keys are
-broadcast up to ``max_broadcast_keys`` of 16 bytes; above, they come back by a join on the line's digest.
+broadcast up to ``max_broadcast_keys`` as digests of 16 bytes; above, they come back by a join on the line's key.
 
 A line's key is the line without white space ``[\\x20\\x09-\\x0D]`` at its ends, A-Z lower-cased.  Null or empty texts
 are one empty line.  Keys shorter than ``min_chars`` code points are never dropped.  Each row is a document,
@@ -41,7 +41,8 @@ def line_keys(text: str | None, min_chars: int) -> tuple[list[bytes], list[bytes
 
 
 def _digest(key: bytes) -> bytes:
-    return hashlib.blake2b(key, digest_size=16).digest()
+    """128 bits; md5, since Spark's functions have it too."""
+    return hashlib.md5(key, usedforsecurity=False).digest()
 
 
 def _bits(digests: np.ndarray, bits: int, hashes: int) -> np.ndarray:
@@ -98,7 +99,7 @@ def suspected_filter(docs: DataFrame, text: str, min_chars: int, max_filter_bits
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, text: str = "text", doc_id: str = "doc_id", max_filter_bits: int = 1 << 28) -> DataFrame:
-    """key, digest, n_docs and first_doc of every line key found in at least ``min_docs`` documents, counted exactly."""
+    """key, n_docs and first_doc of every line key found in at least ``min_docs`` documents, counted exactly."""
     spark = docs.sparkSession
     filled, bits, hashes = suspected_filter(docs, text, min_chars, max_filter_bits)
     sent = spark.sparkContext.broadcast(filled)
@@ -137,7 +138,8 @@ def drop_lines(
     n = found.count()
     if n > max_broadcast_keys:
         return _drop_by_join(docs, found, min_chars, keep, text, doc_id)
-    firsts = {_digest(r["key"].encode("utf-8", "surrogatepass")): r["first_doc"] for r in found.toLocalIterator()}
+    digests = found.select(F.md5(F.col("key").cast("binary")).alias("d"), "first_doc")  # their digests come, not the lines
+    firsts = {bytes.fromhex(r["d"]): r["first_doc"] for r in digests.toLocalIterator()}
     sent = spark.sparkContext.broadcast(firsts)
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
