@@ -5,8 +5,8 @@ automaton over all pieces finds these seeds in one pass, and around each the reg
 decides and gives the edits.  Both work on the text's lower-cased words joined by single spaces, so line breaks and punctuation
 do not count as edits; spans are given in words.  One Arrow pass, no shuffle.
 
-Defined results: null, empty and wordless texts have no words and no finding, score 0; input columns named like the added ones
-give way to them; repeated rows are scanned each.
+Defined results: null, empty and wordless texts have no words and no finding, score 0; texts are scanned whole, however long; empty tables give empty
+ones; input columns named like the added ones give way to them; repeated rows are scanned each.
 """
 
 from __future__ import annotations
@@ -51,6 +51,16 @@ NOTICES = (
     Notice("mpl", "mozilla public license", 2),
     Notice("proprietary", "all rights reserved", 2),
     Notice("unlicense", "free and unencumbered software released into the public domain", 4),
+    Notice("gfdl", "gnu free documentation license", 2),
+    Notice("epl", "eclipse public license", 2),
+    Notice("eupl", "european union public licence", 2),
+    Notice("cddl", "common development and distribution license", 3),
+    Notice("boost", "boost software license", 2),
+    Notice("artistic", "licensed under the artistic license", 3),
+    Notice("ofl", "sil open font license", 2),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 4),
+    Notice("cc0", "creative commons zero", 1),
+    Notice("public-domain", "dedicated to the public domain", 2),
 )
 
 FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, spans array<struct<label:string,first:long,last:long,edits:int,text:string>>, score double"

@@ -157,7 +157,7 @@ QUERIES["pipeline"] = pipeline
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
-    return found.withColumns(joined).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return found.withColumns(joined).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.to_json("spans").alias("spans"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
