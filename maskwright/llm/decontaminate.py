@@ -14,6 +14,7 @@ items and rows count once each; input columns named like the added ones give way
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +25,16 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import materialize, without, words_of
 
-TABLE = 1 << 20  #: entries of a shift table
+TABLE_BITS = (16, 26)  #: least and largest logarithm of a shift table's places, of which there are eight for each block of the patterns
+
+_built: dict[str, Patterns] = {}  #: the last benchmark block's patterns of this worker, which later tasks use again
+
+
+def _patterns(name: str, block: list[tuple[str, str]], window: int) -> Patterns:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Patterns(block, window)
+    return _built[name]
 
 
 class Search:
@@ -32,11 +42,13 @@ class Search:
 
     def __init__(self, length: int, patterns: dict[bytes, set[str]]):
         self.length, self.block = length, min(2, length)
-        self.shift = np.full(TABLE, length - self.block + 1, np.int32)
+        blocks = 8 * len({raw[4 * i : 4 * (i + self.block)] for raw in patterns for i in range(length - self.block + 1)})
+        self.bits = min(max(blocks.bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.int8 if length < 127 else np.int32)
         self.buckets: dict[int, list[tuple[bytes, tuple[str, ...]]]] = defaultdict(list)
         for raw, items in patterns.items():
             h = self.hashes(np.frombuffer(raw, np.int32))
-            np.minimum.at(self.shift, h, np.arange(len(h) - 1, -1, -1, dtype=np.int32))
+            np.minimum.at(self.shift, h, np.arange(len(h) - 1, -1, -1, dtype=self.shift.dtype))
             self.buckets[int(h[-1])].append((raw, tuple(items)))
 
     def hashes(self, ids: np.ndarray) -> np.ndarray:
@@ -46,7 +58,7 @@ class Search:
             x = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
         else:
             x = x * np.uint64(0x9E3779B97F4A7C15)
-        return (x >> np.uint64(44)).astype(np.int64)
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, ids: np.ndarray) -> Iterator[tuple[int, tuple[str, ...]]]:
         """(start, items) of all occurrences."""
@@ -57,7 +69,7 @@ class Search:
         shifts = self.shift[places]
         i, n = m - 1, len(ids)
         while i < n:
-            step = shifts[i - back]
+            step = int(shifts[i - back])
             if step:
                 i += step
                 continue
@@ -133,11 +145,11 @@ def contamination(
     kind = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
     def searched(rows: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         @F.pandas_udf(kind)
         def hits(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            patterns = Patterns(sent.value, window)
+            patterns = _patterns(name, sent.value, window)
             for p in parts:
                 out = [patterns.hits(t) for t in p]
                 yield pd.DataFrame({
