@@ -14,7 +14,7 @@ sends two rows a flush to the task where its digest meets, and a digest's occurr
 Of a repeated passage the chunk it begins in (cuts agree 32 bytes on at the latest) and those it ends in may stay; of a stretch that repeats
 itself its first chunk stays.
 
-Defined results: null and empty texts have no chunks and stay, as do texts shorter than ``min_chars``; rows without a ``doc_id`` stay unchanged, with
+Defined results: a ``doc_id`` is a whole number or null; null and empty texts have no chunks and stay, as do texts shorter than ``min_chars``; rows without a ``doc_id`` stay unchanged, with
 no spans; a ``doc_id`` must not stand for different texts (equal rows of one id are one document: all stay, and their windows count
 once); input columns named like the added ones give way to them; empty tables give empty ones.
 """

@@ -12,7 +12,8 @@ broadcast up to ``max_broadcast_keys`` as digests of 16 bytes; above, they come
 
 A line's key is the line without white space ``[\\x20\\x09-\\x0D]`` at its ends, A-Z lower-cased.  Null or empty texts
 are one empty line.  Keys shorter than ``min_chars`` code points are never dropped.  Each row is a document,
-also where a ``doc_id`` stands in several rows.
+also where a ``doc_id`` stands in several rows.  A ``doc_id`` is a whole number or null; rows without one are documents like others, first of all
+where ``keep="first"`` asks for the smallest.  Empty tables give empty ones; texts are read whole.
 """
 
 from __future__ import annotations

@@ -417,7 +417,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
     """(text, toxic) of at most so many labelled rows of each class, none of them held out.
 
     Held out is crc32(doc_id as text) mod 5 = 0.  The order that picks is a hash of the id, so it does
-    not depend on partitioning.  Null labels are left out; of contradicting labels the larger holds.
+    not depend on partitioning.  Null labels are left out; of contradicting labels the larger holds, of several texts of one id the smallest.
     """
     known = (
         labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -427,7 +427,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
     key = [F.xxhash64(F.col("doc_id")), F.col("doc_id")]
     some = known.filter("toxic = 1").orderBy(*key).limit(max_toxic).unionByName(known.filter("toxic = 0").orderBy(*key).limit(max_clean))
     # bounded by max_toxic + max_clean rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
 
 
 def held_out(doc_id):
