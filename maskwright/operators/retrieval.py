@@ -133,10 +133,21 @@ def context(hits: DataFrame, by: str = "qid") -> DataFrame:
 def hashed_terms(text: Column, dimensions: int = 64) -> Column:
     """A unit vector of hashed word counts: an embedding without a model."""
     words = F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    length = norm(counts)
-    return F.transform(counts, lambda c: F.when(length > 0, c / length).otherwise(0.0).cast("float"))
+    # sorted places with a sentinel for each dimension: one pass counts them all, where a filter per dimension would hash every word again
+    places = F.array_sort(F.concat(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions))), F.sequence(F.lit(0).cast("long"), F.lit(dimensions).cast("long"))))
+
+    def counted(p: Column) -> Column:
+        # where a place begins in the sorted array; the difference to the next one's beginning is its count and its sentinel
+        begins = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimensions).cast("long")), lambda i: F.array_position(p, i))
+        return _bound(begins, lambda b: F.transform(F.slice(b, 1, dimensions), lambda x, i: (F.get(b, i + 1) - x - 1).cast("double")))
+
+    unit = lambda c: _bound(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+    return _bound(places, lambda p: _bound(counted(p), unit))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def chunk_retrieval(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
