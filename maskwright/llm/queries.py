@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import chunk_dedup, decontaminate, license_scan, line_dedup, mixing, ngram_join, robust_outliers, surrogates, tool_calls, toxicity
+from maskwright.llm import chunk_dedup, decontaminate, license_scan, line_dedup, mixing, ngram_join, periodic_runs, robust_outliers, surrogates, tool_calls, toxicity
 
 #: production parameters of the mix, also used by the pipeline
 MIX = {
@@ -275,3 +276,62 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"license_base": license_base, "quality_base": quality_base}
 SQL |= {"license_base": LICENSE_BASE_SQL, "quality_base": QUALITY_BASE_SQL}
+
+
+# ---------------------------------------------------------------- operator 11
+
+
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents get a period from some word on, as their ids' checksums say."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a, p = h // 10 % n, 1 + (n - h // 10 % n) // (3 + h // 10 % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(docs, least_words=6, least_times=4, prepare=planted_period, key="doc_id")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", periodic_runs.longest())
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.neg")).alias("length"), F.col("best.period").alias("period"),
+        F.expr("-1000 * best.neg div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _ranked_stretches(levels: int) -> str:
+    """CTEs r0 to r<levels>: the number g of the stretch of 2^k words at each place, null where it would pass the text's end."""
+    out = []
+    for k in range(levels):
+        pair = f"SELECT doc_id, i, g, lead(g, {1 << k}) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM r{k}"
+        out.append(f"r{k + 1} AS (SELECT doc_id, i, CASE WHEN after IS NOT NULL THEN dense_rank() OVER (ORDER BY g, after) END AS g FROM ({pair}))")
+    return ",\n".join(out)
+
+
+#: Periods up to 8,192 words, so texts of up to 32,768 words.
+_LEVELS = 13
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (
+  SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END)) AS h FROM d
+), a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+words AS (SELECT doc_id, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS w FROM p, unnest(range(n)) AS u(i)),
+r0 AS MATERIALIZED (SELECT doc_id, i, dense_rank() OVER (ORDER BY w) AS g FROM words),
+{_ranked_stretches(_LEVELS)},
+periods AS ({' UNION '.join(f"SELECT doc_id, q FROM (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id, g ORDER BY i) - i AS q FROM r{k} WHERE g IS NOT NULL) WHERE q <= {1 << k} AND 2 * q > {1 << k}" for k in range(_LEVELS + 1))}),
+equal AS (SELECT doc_id, q, x.i, x.i - row_number() OVER (PARTITION BY doc_id, q ORDER BY x.i) AS island FROM periods JOIN r0 x USING (doc_id) JOIN r0 y USING (doc_id) WHERE y.i = x.i + q AND x.g = y.g),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM equal GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, s, m, min(q) AS q FROM stretches GROUP BY doc_id, s, m),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, s, q) = 1),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(listed.n, 0) AS n_runs, s AS start, m AS length, q AS period, 1000 * m // q AS exponent_milli, sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+QUERIES["op11_periodic_runs"] = op11_periodic_runs
+SQL["op11_periodic_runs"] = OP11_SQL
