@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import chunk_dedup, decontaminate, license_scan, line_dedup, mixing, ngram_join, periodic_runs, robust_outliers, surrogates, tool_calls, toxicity
+from maskwright.llm import chunk_dedup, collocations, decontaminate, license_scan, line_dedup, minhash_join, mixing, ngram_join, periodic_runs, robust_outliers, surrogates, tool_calls, toxicity
 
 #: production parameters of the mix, also used by the pipeline
 MIX = {
@@ -335,3 +335,58 @@ FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN k
 """
 QUERIES["op11_periodic_runs"] = op11_periodic_runs
 SQL["op11_periodic_runs"] = OP11_SQL
+
+
+# ---------------------------------------------------------------- operator 12
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents").select("text", "lang"), longest=4, min_count=30, top=2000, covered=(80, 100))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS MATERIALIZED (SELECT lang, w[i:i + m - 1] AS g, count(*) AS f FROM words, unnest([1, 2, 3, 4]) AS a(m), unnest(range(1, len(w) - m + 2)) AS u(i) GROUP BY ALL),
+phrases AS (SELECT lang, g, f AS a FROM grams WHERE len(g) > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.g, c.a, k, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * c.a) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM phrases) c JOIN grams l ON l.lang = c.lang AND l.g = c.g[1:c.k] JOIN grams r ON r.lang = c.lang AND r.g = c.g[c.k + 1:len(c.g)]
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, g[i:i + m - 1] AS g, a FROM phrases, unnest([2, 3]) AS t(m), unnest(range(1, len(g) - m + 2)) AS u(i) WHERE m < len(g)),
+covered AS (SELECT DISTINCT lang, g FROM phrases s JOIN inner_parts x USING (lang, g) WHERE CAST(100 AS HUGEINT) * x.a >= 80 * s.a),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE len(g) = 1 GROUP BY lang),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best ANTI JOIN covered USING (lang, g))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+QUERIES["op12_collocations"] = op12_collocations
+SQL["op12_collocations"] = OP12_SQL
+
+
+# ---------------------------------------------------------------- operator 13
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=5, threshold=(85, 100))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id
+  JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id, d.doc_id = m AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+QUERIES["op13_minhash"] = op13_minhash
+SQL["op13_minhash"] = OP13_SQL
