@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.text import CJK
 from maskwright.functions.types import literal_map
+from maskwright.operators.replacement import replacing
 
 Mask = Callable[[Column, Column], Column]  #: (value, type) to mask
 
@@ -287,25 +288,25 @@ def replacement_pairs(entities: DataFrame) -> DataFrame:
 
 
 def replaced(cell: Column, pairs: Column) -> Column:
-    """All pairs (array<struct<value, masked>>) applied to a cell as literal replacements, the longest value first."""
+    """All pairs (array<struct<value, masked>>) applied to a cell at once: the leftmost value, there the longest; masks are left alone."""
 
     def longest(a: Column, b: Column) -> Column:
         n, m = F.char_length(a["value"]), F.char_length(b["value"])
-        return F.when(n != m, m - n).when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).otherwise(0)
+        return F.when(n != m, m - n).when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).when(a["masked"] < b["masked"], -1).when(a["masked"] > b["masked"], 1).otherwise(0)
 
-    return F.aggregate(F.array_sort(pairs, longest), cell, lambda c, p: F.replace(c, p["value"], p["masked"]))
+    ordered = F.array_sort(F.filter(pairs, lambda p: p["value"] != ""), longest)
+    quoted = F.transform(ordered, lambda p: F.concat(F.lit("\\Q"), F.replace(p["value"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.array_join(quoted, "|")
+    masks = F.transform(F.regexp_extract_all(cell, pattern, F.lit(0)), lambda v: F.get(F.filter(ordered, lambda p: p["value"] == v), 0)["masked"])
+    put = F.array_join(F.zip_with(F.split(cell, pattern, -1), masks, lambda rest, mask: F.concat(rest, F.coalesce(mask, F.lit("")))), "")
+    return F.when(F.size(ordered) > 0, put).otherwise(cell)
 
 
 def mask_table(table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Every cell as text with all pairs applied.  ``pairs`` is a case's list; for pairs per row use ``replaced`` after a join."""
-    ordered = sorted({v: m for v, m in pairs if v}.items(), key=lambda p: (-len(p[0]), p[0]))
-    out = {}
-    for c in table.columns:
-        cell = F.col(c).cast("string")
-        for v, m in ordered:
-            cell = F.replace(cell, F.lit(v), F.lit(m))
-        out[c] = cell
-    return table.withColumns(out)
+    """Every cell as text with all pairs applied at once (the last mask of a value).  ``pairs`` is a case's list; for pairs per row use ``replaced`` after a join, for a table
+    of pairs ``replacement.replace_all``."""
+    apply = replacing({v: m for v, m in pairs if v})
+    return table.withColumns({c: apply(F.col(c).cast("string")) for c in table.columns})
 
 
 def with_sheet(sheets: Mapping[str, DataFrame]) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.operators.replacement import Replacer
+
 HELPERS = ("__row", "__sheet")
 
 
@@ -44,10 +46,7 @@ def sheet_names(names: DataFrame) -> DataFrame:
 
 
 def _replaced(text: str, pairs: list[tuple[str, str]]) -> str:
-    for value, mask in sorted(pairs, key=lambda p: (-len(p[0]), p[0])):
-        if value:
-            text = text.replace(value, mask)
-    return text
+    return Replacer(dict(reversed(pairs)))(text)
 
 
 def patched_csv(data: bytes, pairs: list[tuple[str, str]]) -> bytes:
