@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import materialize, mix64, text_bytes
 
-SHARD_WORDS = 4_000_000  #: words that a shard's transducer is built from
+SHARD_WORDS = 2_000_000  #: words that a shard's transducer is built from
 RANGE_BYTES = 16 << 20  #: of text that a prefix range stands for
 RANGE_PHRASES = 100_000  #: kept phrases that a range holds once rare ones are gone
 #: bytes -> bytes: A-Z to a-z, separators of pieces to a line feed, a tab to a space
