@@ -7,18 +7,20 @@ unit gives the window's score.  Windows overlap by a quarter; every window of ev
 the largest score is the document's.
 
 The network is trained here, in numpy, on a sample of labelled rows whose bound is a parameter
-(``TrainConfig.max_per_class`` and ``max_clean``); labels say nothing about windows, so training starts with the windows that hold the words most peculiar to
-toxic documents, and later alternates between picking the windows that explain a toxic document best (and the clean windows most like
+(``TrainConfig.max_per_class`` and ``max_clean``); labels say nothing about windows, so training starts with the windows that hold words, or spellings, which
+tell toxic documents beyond chance, and later alternates between picking the windows that explain a toxic document best (and the clean windows most like
 toxic ones) and gradient steps on them.  Scoring is one Arrow pass without a shuffle.
 
 Defined results: null and empty texts have no window and get the score ``Model.empty_score``
-(at most 0.49, the training sample's share of toxic rows otherwise).  Repeated rows are scored each.
+(at most 0.49, the training sample's share of toxic rows otherwise).  Repeated rows are scored each.  Very long texts are scored window by window, whole.
+Empty tables give empty ones; without labelled rows of both classes the model is a constant.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import without, words_of
+from maskwright.llm.common import materialize, without, words_of
 
 PIECE = 20  #: bytes of a word that one token holds; longer words become several tokens
 
@@ -36,18 +38,22 @@ class TrainConfig:
     """Bounds and sizes of training; none of them limits what is scored."""
 
     max_per_class: int = 1500  #: toxic rows
-    max_clean: int = 2500  #: rows that are not
+    max_clean: int = 4000  #: rows that are not
     window: int = 32
     stride: int = 24
     vocabulary: int = 4096
     min_count: int = 4
-    char_dim: int = 8
-    char_hidden: int = 8
+    char_dim: int = 12
+    char_hidden: int = 16
     word_dim: int = 8
     hidden: int = 8
-    epochs: int = 6
+    epochs: int = 8
     batch: int = 256
-    rate: float = 0.012
+    steps: int = 120  #: of an epoch at least, while batches have 16 windows
+    averaged: int = 2  #: last epochs over whose steps the weights are averaged: single steps sway with the sample's order
+    spelled: float = 0.5  #: share of a batch's words that are read by their spelling alone
+    doubt: float = 0.05  #: score under which a toxic document's best window is taken for a clean one
+    rate: float = 0.008
     seed: int = 7
 
 
@@ -338,7 +344,10 @@ class Scorer:
 # ---------------------------------------------------------------- training
 
 
-def _mined(model: Model, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Windows = tuple[np.ndarray, np.ndarray, np.ndarray]  #: document, start, score
+
+
+def _mined(model: Model, docs: list[list[bytes]]) -> Windows:
     """All windows of all docs, a few docs at a time to bound what the scorer holds."""
     scorer, parts = Scorer(model), []
     for i in range(0, len(docs), 100):
@@ -347,12 +356,49 @@ def _mined(model: Model, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def train(texts: list[str | None], toxic: list[int], config: TrainConfig = TrainConfig()) -> Model:
-    """Fit on labelled texts (the caller bounds how many).  One class only: a constant model."""
-    docs, y = [], []
+def _ranked(owner: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by document and falling score, and each row's rank there."""
+    order = np.lexsort((-score, owner))
+    return order, np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
+
+
+def telling_words(docs: list[list[bytes]], labels: np.ndarray, least: float = 12.0) -> dict[bytes, float]:
+    """Words that tell a toxic document, with their log-odds: by themselves or by a stretch of 4 to 6 bytes of their spelling (ends marked).
+
+    What tells has to be so much likelier among toxic documents that chance would bring it once in e^``least``; stretches are counted in hashed cells.
+    """
+    size, cells = 1 << 20, {}
+
+    def cells_of(word: bytes) -> np.ndarray:
+        marked = b"^" + word + b"$"
+        parts = {marked, *(marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1))}
+        return np.fromiter((zlib.crc32(x) % size for x in parts), np.int32, len(parts))
+
+    found = np.zeros((2, size))
+    for d, label in zip(docs, labels, strict=True):
+        own = set(d)
+        for w in own:
+            if w not in cells:
+                cells[w] = cells_of(w)
+        found[label, np.unique(np.concatenate([cells[w] for w in own]))] += 1
+    n = np.bincount(labels, minlength=2)
+    share, both = n[1] / n.sum(), found.sum(0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.nan_to_num(found[1] * np.log(found[1] / (both * share))) + np.nan_to_num(found[0] * np.log(found[0] / (both * (1 - share))))
+    ratio = np.log((found[1] + 0.5) / (n[1] + 1)) - np.log((found[0] + 0.5) / (n[0] + 1))
+    tells = np.where((gain >= least) & (found[1] > both * share), ratio, 0.0)
+    return {w: t for w, c in cells.items() if (t := float(tells[c].max())) > 0}
+
+
+def train(texts: list[str | None], toxic: list[int], config: TrainConfig = TrainConfig(), mine: Callable[[Model], Windows] | None = None) -> Model:
+    """Fit on labelled texts (the caller bounds how many).  One class only: a constant model.
+
+    ``mine`` scores the texts' windows with the model of the moment (documents by their place in ``texts``); without it they are scored here."""
+    docs, y, place = [], [], {}
     pool: dict[bytes, bytes] = {}  # equal words are one object
-    for t, label in zip(texts, toxic, strict=True):
+    for i, (t, label) in enumerate(zip(texts, toxic, strict=True)):
         if p := pieces_of(t):
+            place[i] = len(docs)
             docs.append([pool.setdefault(w, w) for w in p])
             y.append(int(label))
     share = float(np.mean(toxic)) if toxic else 0.0
@@ -365,33 +411,38 @@ def train(texts: list[str | None], toxic: list[int], config: TrainConfig = Train
     model = Model(config, vocabulary, initial_weights(config, len(vocabulary)), empty)
     labels, rng = np.array(y), np.random.default_rng(config.seed)
     starts = [window_starts(len(d), config.window, config.stride) for d in docs]
-    counts = [Counter(w for d, label in zip(docs, y, strict=True) if label == k for w in set(d)) for k in (0, 1)]
-    n = np.bincount(labels, minlength=2)
-    odds = {w: float(np.log((counts[1][w] + 0.5) / (n[1] + 1)) - np.log((counts[0][w] + 0.5) / (n[0] + 1))) for w in vocabulary}
+    odds = telling_words(docs, labels)
+    for w, i in vocabulary.items():  # training begins with what the words alone tell
+        model.weights["words"][i, 0] = min(odds.get(w, 0.0), 3.0) / 2
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
-    step = 0
+    step, steps, mean = 0, 0, {k: np.zeros_like(v) for k, v in model.weights.items()}
     for epoch in range(config.epochs):
         if epoch < 2:  # the windows with the words most peculiar to toxic documents
             chosen: list[tuple[int, int]] = []
             for d, s in enumerate(starts):
                 tell = np.array([odds.get(w, 0.0) for w in docs[d]])
-                top = s[np.argsort([-tell[i : i + config.window].max() for i in s], kind="stable")]
-                chosen += [(d, int(i)) for i in top[: 2 if labels[d] else 1]]
+                peak = np.array([tell[i : i + config.window].max() for i in s])
+                top = np.argsort(-peak, kind="stable")
+                # a toxic document's windows without such a word are most likely clean ones
+                chosen += [(d, int(s[i])) for k, i in enumerate(top[: 2 if labels[d] else 1]) if not labels[d] or peak[i] > 0]
                 if not labels[d]:
                     chosen.append((d, int(rng.choice(s))))
         elif epoch % 2 == 0:
             chosen = []
-            owner, at, score = _mined(model, docs)
-            order = np.lexsort((-score, owner))
-            rank = np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
+            if mine:
+                owner, at, score = mine(model)
+                owner = np.array([place[i] for i in owner.tolist()], np.int64)
+            else:
+                owner, at, score = _mined(model, docs)
+            order, rank = _ranked(owner, score)
             for o, r in zip(order, rank, strict=True):
                 d = owner[o]
-                if r == 0 or (labels[d] and r < 3 and score[o] > 0.8) or (not labels[d] and (score[o] > 0.02 or r == 1)):
+                if (r == 0 and (not labels[d] or score[o] > config.doubt)) or (labels[d] and r < 3 and score[o] > 0.8) or (not labels[d] and (score[o] > 0.02 or r == 1)):
                     chosen.append((int(d), int(at[o])))
             chosen += [(d, int(rng.choice(s))) for d, s in enumerate(starts) if not labels[d]]
         rng.shuffle(chosen)
         rate = config.rate * (1 - epoch / config.epochs) + 0.001
-        batch = min(config.batch, max(16, len(chosen) // 30))  # small samples get steps enough
+        batch = min(config.batch, max(16, len(chosen) // config.steps))  # small samples get steps enough
         for b in range(0, len(chosen), batch):
             some = chosen[b : b + batch]
             parts = [[docs[d][(s + i) % len(docs[d])] for i in range(config.window)] for d, s in some]
@@ -399,7 +450,7 @@ def train(texts: list[str | None], toxic: list[int], config: TrainConfig = Train
             tokens = list(index)
             rows = np.array([[index[w] for w in p] for p in parts], np.int64).T
             ids = np.array([vocabulary.get(w, 0) for w in tokens], np.int64)
-            ids[rng.random(len(ids)) < 0.5] = 0  # half of the words by spelling alone
+            ids[rng.random(len(ids)) < config.spelled] = 0  # by spelling alone
             target = labels[[d for d, _ in some]].astype(np.float32)
             _, g = _gradients(model.weights, ids, tokens, rows, target)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
@@ -410,11 +461,16 @@ def train(texts: list[str | None], toxic: list[int], config: TrainConfig = Train
                 m1 += np.float32(0.1) * (v - m1)
                 m2 += np.float32(0.01) * (v * v - m2)
                 model.weights[k] -= np.float32(rate) * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + np.float32(1e-6))
+            if epoch >= config.epochs - config.averaged:
+                steps += 1
+                for k, v in model.weights.items():
+                    mean[k] += (v - mean[k]) / np.float32(steps)
+    model.weights = mean
     return model
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
-    """(text, toxic) of at most so many labelled rows of each class, none of them held out.
+    """(doc_id, toxic, text) of at most so many labelled rows of each class, none of them held out.
 
     Held out is crc32(doc_id as text) mod 5 = 0.  The order that picks is a hash of the id, so it does
     not depend on partitioning.  Null labels are left out; of contradicting labels the larger holds, of several texts of one id the smallest.
@@ -427,7 +483,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
     key = [F.xxhash64(F.col("doc_id")), F.col("doc_id")]
     some = known.filter("toxic = 1").orderBy(*key).limit(max_toxic).unionByName(known.filter("toxic = 0").orderBy(*key).limit(max_clean))
     # bounded by max_toxic + max_clean rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def held_out(doc_id):
@@ -435,11 +491,36 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: TrainConfig = TrainConfig()) -> Model:
-    """Train on the bounded sample of labelled rows; the sample (not the corpus) comes to the driver."""
-    rows = training_rows(docs, labels, config.max_per_class, config.max_clean).toPandas()
-    texts, toxic = rows["text"].tolist(), rows["toxic"].tolist()
+    """Train on the bounded sample of labelled rows; the sample (not the corpus) comes to the driver, which takes the gradient steps.
+    Its windows are scored in Spark's tasks."""
+    spark = docs.sparkSession
+    sample = materialize(training_rows(docs, labels, config.max_per_class, config.max_clean).repartition(2 * spark.sparkContext.defaultParallelism, "doc_id"), "sample")
+    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    texts, toxic, ids = rows["text"].tolist(), rows["toxic"].tolist(), {d: i for i, d in enumerate(rows["doc_id"].tolist())}
     del rows
-    return train(texts, toxic, config)
+    kind = sample.schema["doc_id"].dataType.simpleString()
+
+    def mine(model: Model) -> Windows:
+        sent = spark.sparkContext.broadcast((model.config, model.vocabulary, model.weights))
+
+        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = Model(*sent.value)
+            for pdf in batches:
+                tokens = [pieces_of(t) for t in pdf["text"]]
+                some = [i for i, t in enumerate(tokens) if t]
+                if some:
+                    owner, at, score = _mined(own, [tokens[i] for i in some])
+                    order, rank = _ranked(owner, score)
+                    order = order[(rank < 3) | (score[order] > 0.02)]  # no others are looked at
+                    yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[np.array(some)[owner[order]]], "at": at[order], "score": score[order].astype(float)})
+
+        found = sample.mapInPandas(scored, f"doc_id {kind}, at long, score double").toPandas()
+        sent.unpersist()
+        owner = np.array([ids[d] for d in found["doc_id"].tolist()], np.int64)
+        order = np.lexsort((found["at"], owner))  # however the tasks' rows come
+        return owner[order], found["at"].to_numpy()[order], found["score"].to_numpy()[order]
+
+    return train(texts, toxic, config, mine)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
