@@ -93,7 +93,7 @@ class Scanner:
             start = end - size + 1
             for kind, what, more in uses:
                 if kind == "base":
-                    places.append((line.count(" ", 0, start + 1) - 1, what))
+                    places.append((start + 1, what))
                 else:
                     n = self.notices[what]
                     a = max(0, start - more - n.edits)
@@ -101,11 +101,15 @@ class Scanner:
         spans = []
         for what, windows in around.items():
             for a, b in _joined(windows):
-                for m in _matches(self.patterns[what], line, a, b):
+                for m in _matches(self.patterns[what], line, a, b, len(self.notices[what].text) + 2 * self.notices[what].edits + 2):
                     found = m.group().strip()
                     at = m.start() + m.group().index(found[:1]) if found else m.start()
-                    first = line.count(" ", 0, at) - 1
-                    spans.append({"label": self.notices[what].label, "first": first, "last": first + found.count(" "), "edits": sum(m.fuzzy_counts), "text": found, "size": len(self.notices[what].text)})
+                    spans.append({"label": self.notices[what].label, "first": at, "last": found.count(" "), "edits": sum(m.fuzzy_counts), "text": found, "size": len(self.notices[what].text)})
+        number = _word_numbers(line, [p for p, _ in places] + [s["first"] for s in spans])
+        places = [(number[p], what) for p, what in places]
+        for s in spans:
+            s["first"] = number[s["first"]]
+            s["last"] += s["first"]
         spans.sort(key=lambda s: (s["first"], s["last"], s["label"]))
         score = 1.0 if places else max((1 - s["edits"] / s["size"] for s in spans), default=0.0)
         for s in spans:
@@ -116,14 +120,35 @@ class Scanner:
         return len(words), len(places), min(starts, default=None), max(starts, default=None), base, labels, spans, round(score, 6)
 
 
-def _matches(pattern: regex.Pattern, line: str, a: int, b: int) -> Iterator[regex.Match]:
-    """The slice's best match, and in turn those of what lies before and behind it, until nothing is found."""
-    left = [(a, b)]
-    while left:
-        a, b = left.pop()
-        if m := pattern.search(line, a, b):
-            yield m
-            left += [(a, m.start()), (m.end(), b)]
+BLOCK = 8  #: greatest lengths of a match that are searched at once
+
+
+def _matches(pattern: regex.Pattern, line: str, a: int, b: int, reach: int) -> Iterator[regex.Match]:
+    """Matches of which none overlaps another, so that every stretch that matches overlaps one.
+
+    In a block of the slice the best match, and in turn those of what lies before and behind it, until nothing is found.  Blocks overlap by ``reach``, which no match
+    exceeds, but for what matched already; so the time is in proportion to the slice, however many notices stand in it.
+    """
+    while a < b:
+        stop = min(b, a + BLOCK * reach)
+        left, end = [(a, stop)], a
+        while left:
+            x, y = left.pop()
+            if y > x and (m := pattern.search(line, x, y)):
+                yield m
+                left += [(x, m.start()), (m.end(), y)]
+                end = max(end, m.end())
+        a = b if stop == b else max(end, stop - reach)
+
+
+def _word_numbers(line: str, places: list[int]) -> dict[int, int]:
+    """The number of the word at each place, by one walk over the line."""
+    out, seen, last = {}, 0, 0
+    for p in sorted(set(places)):
+        seen += line.count(" ", last, p)
+        last = p
+        out[p] = seen - 1
+    return out
 
 
 def _joined(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
