@@ -28,6 +28,8 @@ from maskwright.llm.common import materialize
 
 #: noncharacters that mark a number while it travels as a string through the JSON functions, which round long ones
 _A, _Z = "\ufdd0", "\ufdd1"
+#: stands, with a digit, for the two marks and for itself where a text has them, as they are or as escapes
+_ESCAPE = "\ufdd2"
 _TOKEN = r'("(?:[^"\\]|\\.)*+")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)'
 _REFERENCE = r'\{"\$ref":"((?:[^"\\]|\\.)*+)"\}'
 #: what a JSON value of canonical text is, by its first characters
@@ -44,16 +46,30 @@ def json_type(raw: Column) -> Column:
     return out
 
 
+def _escaped(json: Column) -> Column:
+    """A JSON text without the marks: what it has of them is escaped."""
+    for digit, mark in ((2, _ESCAPE), (0, _A), (1, _Z)):
+        json = F.replace(json, F.lit(mark), F.lit(f"{_ESCAPE}{digit}"))
+    return F.regexp_replace(json, r"(?<!\\)((?:\\\\)*)\\u[fF][dD][dD]([0-2])", f"$1{_ESCAPE}$2")
+
+
+def restored(text: Column) -> Column:
+    """A text with the escaped marks as they were."""
+    for digit, mark in ((0, _A), (1, _Z), (2, _ESCAPE)):
+        text = F.replace(text, F.lit(f"{_ESCAPE}{digit}"), F.lit(mark))
+    return text
+
+
 def marked(json: Column) -> Column:
-    """Canonical text of a JSON text in which numbers are marked strings; null if it is not JSON."""
-    text = F.regexp_replace(F.replace(F.replace(json, F.lit(_A), F.lit("")), F.lit(_Z), F.lit("")), _TOKEN, f"$1{_A}$2{_Z}")
+    """Canonical text of a JSON text in which numbers are marked strings and what it has of the marks is escaped; null if it is not JSON."""
+    text = F.regexp_replace(_escaped(json), _TOKEN, f"$1{_A}$2{_Z}")
     text = F.regexp_replace(F.replace(text, F.lit(_A + _Z), F.lit("")), f"{_A}([^{_Z}]*){_Z}", f'"{_A}$1{_Z}"')
     return F.when(F.try_parse_json(json).isNotNull(), F.to_json(F.try_parse_json(text)))
 
 
 def unmarked(text: Column) -> Column:
     """Marked canonical text as JSON."""
-    return F.regexp_replace(text, f'"{_A}([^{_Z}]*){_Z}"', "$1")
+    return restored(F.regexp_replace(text, f'"{_A}([^{_Z}]*){_Z}"', "$1"))
 
 
 def canonical(json: Column) -> Column:
@@ -128,7 +144,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     ids = own.select("conv_id", "call_id")
     found = F.array_distinct(F.regexp_extract_all("canon", F.lit(_REFERENCE), F.lit(1)))
     refs = own.select("conv_id", "call_id", F.explode(found).alias("v"))
-    refs = materialize(refs.select("conv_id", "call_id", F.from_json(F.concat(F.lit('["'), "v", F.lit('"]')), "array<string>")[0].alias("ref")), "refs")
+    refs = materialize(refs.select("conv_id", "call_id", restored(F.from_json(F.concat(F.lit('["'), "v", F.lit('"]')), "array<string>")[0]).alias("ref")), "refs")
     known = ids.withColumnRenamed("call_id", "ref")
     missing = refs.join(known, ["conv_id", "ref"], "left_anti").select("conv_id", "call_id").distinct().withColumn("missing", F.lit(True))
     level = levels(ids, refs.join(known, ["conv_id", "ref"], "left_semi"))
@@ -136,7 +152,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     linked = linked.join(missing, ["conv_id", "call_id"], "left").join(level, ["conv_id", "call_id"], "left").join(schemas, "name", "left")
     linked = linked.withColumn("object", F.coalesce(F.col("canon").startswith("{"), F.lit(False)))
     given = F.transform_values(F.from_json(F.col("canon"), "map<string,variant>"), lambda k, v: json_type(F.to_json(v)))
-    linked = linked.withColumn("given", F.when(F.col("object"), given))
+    linked = linked.withColumn("given", F.when(F.col("object"), F.transform_keys(given, lambda k, v: restored(k))))
     absent = F.transform(F.filter(F.array_distinct("required"), lambda n: ~F.coalesce(F.map_contains_key("given", n), F.lit(False))), lambda n: F.concat(F.lit("missing:"), n))
     fits = lambda t, k: (t == k) | (k == "reference") | ((t == "number") & (k == "integer"))
     wrong = F.filter(F.map_entries("given"), lambda e: ~F.coalesce(fits(F.try_element_at("types", e["key"]), e["value"]), F.lit(False)))
