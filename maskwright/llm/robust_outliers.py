@@ -6,13 +6,15 @@ starts, whose determinants are compared, until the smallest one falls no more; d
 rejected.  Medians and the steps' cuts come from counts per group and bin, summed before the shuffle, so a group may hold any share of
 the rows and results do not depend on partitioning; a cut takes its whole bin, so slightly more than three quarters may lie within.
 
+Each group is judged by its own estimate, drawn towards its language's estimate, and that towards the corpus's: an estimate from n documents has the weight
+n^2 / (n^2 + ``prior_rows``^2).  So a group of a few documents is judged by little more than its language, a large one by itself, and no size decides between them.
+
 A floor (``FLOOR``) is added to each variance: statistics that are zero in most documents would otherwise have none.  Distances
 are scaled so that their median is the chi-squared distribution's.
 
 Defined results: null texts count as empty; texts without words fail the base rules; null languages and sources form groups of their
-own; groups of fewer than ``min_rows`` documents that pass the base rules are judged by their language's estimate, or, where the
-language has fewer too, by the whole corpus's, so that each document that passes has a distance; input columns named like the added
-ones give way to them.
+own; each document that passes the base rules has a distance; repeated rows count each time; texts are taken whole; at the cut a document is kept;
+empty tables give empty ones; input columns named like the added ones give way to them.
 """
 
 from __future__ import annotations
@@ -201,33 +203,46 @@ def estimate(rows: DataFrame, coverage: float = 0.75, first_steps: int = 2) -> D
     return materialize(best.join(scale, ["lang", "source"]).select("lang", "source", "m", "scale"), "estimate")
 
 
-def _levels(fit: DataFrame, min_rows: int) -> DataFrame:
-    """Per lang and source: the estimate that judges it (to_lang, to_source), and whether its language's or the corpus's is needed by any group.
+def _dealt(fit: DataFrame) -> DataFrame:
+    """The vectors, once for each estimate they take part in, with its key as lang and source: ("=lang", "=source") of the group, ("=lang", "") of the
+    language, ("", "") of the corpus."""
+    key = lambda a, b: F.struct(a.alias("lang"), b.alias("source"))
+    lang, source, none = F.concat(F.lit("="), "lang"), F.concat(F.lit("="), "source"), F.lit("")
+    x = [f"x{i}" for i in range(DIMENSIONS)]
+    return fit.select(F.explode(F.array(key(lang, source), key(lang, none), key(none, none))).alias("k"), *x).select("k.lang", "k.source", *x)
 
-    Keys of estimates: ("=lang", "=source") of a group, ("=lang", "") of a language, ("", "") of the corpus."""
-    sizes = fit.groupBy("lang", "source").count()
-    langs = sizes.groupBy("lang").agg(F.sum("count").alias("in_lang"), F.min("count").alias("least"))
-    langs = langs.withColumn("by_lang", (F.col("least") < min_rows) & (F.col("in_lang") >= min_rows))
-    whole = langs.agg(F.coalesce(F.max((F.col("least") < min_rows) & ~F.col("by_lang")), F.lit(False)).alias("by_corpus"))
-    out = sizes.join(langs, "lang").crossJoin(F.broadcast(whole))
-    own, named = F.col("count") >= min_rows, F.concat(F.lit("="), "lang")
-    return out.select(
-        "lang", "source", own.alias("own"), "by_lang", "by_corpus", F.when(own | F.col("by_lang"), named).otherwise("").alias("to_lang"),
-        F.when(own, F.concat(F.lit("="), "source")).otherwise("").alias("to_source"),
-    )
 
+def _blended(own: Column, above: Column, weight: Column) -> list[Column]:
+    """Centre and covariance (less the floor, which the model adds) that lie between two models."""
+    mix = lambda a, b: weight * a + (1 - weight) * b
+    covariance = lambda m, i, j: sum(m[f"l{i}{k}"] * m[f"l{j}{k}"] for k in range(j + 1))
+    centre = [mix(own[f"c{i}"], above[f"c{i}"]).alias(f"c{i}") for i in range(DIMENSIONS)]
+    pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+    return centre + [(mix(covariance(own, i, j), covariance(above, i, j)) - (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"v{i}{j}") for i, j in pairs]
 
-def _dealt(fit: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
-    """The vectors, once for each estimate they take part in, with its key as lang and source."""
-    key = lambda a, b: F.struct(a.alias("lang"), b.alias("source"))
-    lang, source = F.concat(F.lit("="), "lang"), F.concat(F.lit("="), "source")
-    keys = F.array(F.when(F.col("own"), key(lang, source)), F.when(F.col("by_lang"), key(lang, F.lit(""))), F.when(F.col("by_corpus"), key(F.lit(""), F.lit(""))))
-    some = _near(fit, plan.select("lang", "source", "own", "by_lang", "by_corpus"), few)
-    x = [f"x{i}" for i in range(DIMENSIONS)]
-    return some.select(F.explode(F.array_compact(keys)).alias("k"), *x).select("k.lang", "k.source", *x)
+
+def _shrunk(model: DataFrame, fit: DataFrame, prior_rows: float) -> DataFrame:
+    """lang, source, m, scale of each group: its estimate drawn towards its language's, and that towards the corpus's, half way where there are ``prior_rows``
+    documents."""
+
+    def towards(rows: DataFrame) -> DataFrame:
+        """rows: lang, source, n, m, scale, above, above_scale"""
+        w = F.col("n") ** 2 / (F.col("n") ** 2 + prior_rows**2)
+        moments = rows.select("lang", "source", F.lit(0).alias("start"), *_blended(F.col("m"), F.col("above"), w))
+        scales = rows.select("lang", "source", (w * F.col("scale") + (1 - w) * F.col("above_scale")).alias("scale"))
+        return _modelled(moments, start=False).drop("start").join(scales, ["lang", "source"])
+
+    sizes = fit.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    key = lambda c: F.concat(F.lit("="), c)
+    whole = model.filter("lang = ''").select(F.col("m").alias("above"), F.col("scale").alias("above_scale"))  # one row
+    langs = sizes.groupBy("lang").agg(F.sum("n").alias("n")).withColumns({"lang": key("lang"), "source": F.lit("")})
+    langs = materialize(towards(langs.join(model, ["lang", "source"]).crossJoin(F.broadcast(whole))), "languages")
+    above = langs.select("lang", F.col("m").alias("above"), F.col("scale").alias("above_scale"))
+    groups = sizes.withColumns({"lang": key("lang"), "source": key("source")}).join(model, ["lang", "source"]).join(above, "lang")
+    return materialize(towards(groups), "models").withColumns({c: F.substring(c, 2, 1 << 30) for c in ("lang", "source")})
 
 
-def judge(docs: DataFrame, min_rows: int = 50, cutoff: float = CHI2_CUT, coverage: float = 0.75, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def judge(docs: DataFrame, prior_rows: float = 50.0, cutoff: float = CHI2_CUT, coverage: float = 0.75, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """All columns of ``docs`` but the text, the statistics, base_failed, distance (null if not judged) and kept."""
     docs = without(docs, *STATISTICS, "n_lines", "base_failed", "distance", "kept")
     others = [c for c in docs.columns if c != text]
@@ -235,12 +250,10 @@ def judge(docs: DataFrame, min_rows: int = 50, cutoff: float = CHI2_CUT, coverag
     group = {"__lang": F.coalesce(F.col(lang).cast("string"), F.lit("")), "__source": F.coalesce(F.col(source).cast("string"), F.lit(""))}
     rows = materialize(rows.withColumns(group).select(*others, *STATISTICS, "n_lines", "base_failed", *group), "statistics")
     fit = rows.filter(~F.col("base_failed")).select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), *[x.alias(f"x{i}") for i, x in enumerate(vector())])
-    plan = materialize(_levels(fit, min_rows), "levels")
-    many = plan.count()
-    model = estimate(materialize(_dealt(fit, plan, many <= BROADCAST_GROUPS), "vectors"), coverage)
-    groups = plan.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("to_lang").alias("lang"), F.col("to_source").alias("source"))
-    model = materialize(groups.join(model, ["lang", "source"]).drop("lang", "source"), "models")
-    few = many <= BROADCAST_GROUPS
+    fit = materialize(fit, "vectors")
+    model = _shrunk(estimate(materialize(_dealt(fit), "dealt"), coverage), fit, prior_rows)
+    few = model.count() <= BROADCAST_GROUPS
+    model = model.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     out = rows.join(F.broadcast(model) if few else model, ["__lang", "__source"], "left").withColumns({f"x{i}": x for i, x in enumerate(vector())})
     out = out.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance(F.col("m")) / F.greatest(F.col("scale"), F.lit(1.0)))))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= math.sqrt(cutoff))
