@@ -190,12 +190,14 @@ def html_plain(source: str) -> str:
     return "\n".join(x for x in (line.strip() for line in out.split("\n")) if x)
 
 
-def load(spark: SparkSession, path: str, format: str | None = None, glob: str | None = None, recursive: bool = False, max_bytes: int | None = None, keep_spaces: bool = False, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """path, format, content, error of all files under a path; ``readers`` adds or replaces formats."""
+def load(spark: SparkSession, path: str, format: str | None = None, glob: str | None = None, recursive: bool = False, max_bytes: int | None = None, keep_spaces: bool = False, readers: dict[str, Callable[[bytes], str]] | None = None, metadata: bool = False) -> DataFrame:
+    """path, format, content, error of all files under a path; ``readers`` adds or replaces formats.  With ``metadata`` also length (bytes) and modified."""
     known = {**READERS, **(readers or {})}
     found = files(spark, path, glob, recursive, max_bytes)
     found = found.withColumn("format", F.lit(format) if format else format_of(F.col("path")))
 
+    more = ["length", "modified"] if metadata else []
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -207,9 +209,9 @@ def load(spark: SparkSession, path: str, format: str | None = None, glob: str |
                     rows.append((p, f, known.get(f, _decode)(data), None))
                 except Exception as e:  # one bad file does not end the others
                     rows.append((p, f, None, type(e).__name__))
-            yield pd.DataFrame(rows, columns=["path", "format", "content", "error"])
+            yield pd.DataFrame(rows, columns=["path", "format", "content", "error"]).assign(**{c: pdf[c].to_numpy() for c in more})
 
-    out = found.select("path", "format", "bytes").mapInPandas(read, DOCUMENT)
+    out = found.select("path", "format", "bytes", *more).mapInPandas(read, DOCUMENT + (", length long, modified timestamp" if metadata else ""))
     return out if keep_spaces else out.withColumn("content", F.when(F.col("format").isin("text", "html"), collapse(F.col("content"))).otherwise(F.col("content")))
 
 

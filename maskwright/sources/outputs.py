@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.operators.replacement import Replacer
+from maskwright.plans.scratch import written
 
 HELPERS = ("__row", "__sheet")
 
@@ -38,11 +41,14 @@ def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def sheet_names(names: DataFrame) -> DataFrame:
     """Sheet names of 31 characters at most, numbered where they repeat.  ``names``: ord, name."""
-    from pyspark.sql import Window
-
     cut = names.withColumn("sheet", F.substring(F.regexp_replace("name", r"[\[\]:*?/\\]", "_"), 1, 31))
     n = F.row_number().over(Window.partitionBy("sheet").orderBy("ord"))
-    return cut.withColumn("n", n).select("ord", F.when(F.col("n") > 1, F.concat(F.substring("sheet", 1, 27), F.lit("_"), F.col("n").cast("string"))).otherwise(F.col("sheet")).alias("sheet"))
+    made = F.when(F.col("n") > 1, F.concat(F.substring("sheet", 1, 27), F.lit("_"), F.col("n").cast("string"))).otherwise(F.col("sheet"))
+    numbered = cut.withColumn("n", n).withColumn("made", made)
+    # a numbered name may be another sheet's: of those the first keeps it, the others get their place in the workbook as a name (31 characters, unlike any other)
+    again = F.row_number().over(Window.partitionBy("made").orderBy((F.col("n") > 1).cast("int"), "ord"))
+    unlike = F.concat(F.substring("made", 1, 15), F.lit("~"), F.lpad(F.col("ord").cast("string"), 15, "0"))
+    return numbered.withColumn("again", again).select("ord", F.when(F.col("again") > 1, unlike).otherwise(F.col("made")).alias("sheet"))
 
 
 def _replaced(text: str, pairs: list[tuple[str, str]]) -> str:
@@ -136,15 +142,82 @@ def patched(format: str, data: bytes, pairs: list[tuple[str, str]]) -> bytes | N
     return None
 
 
-def delete_expired(spark, listing: DataFrame, now: Column, hours: float, most: int = 100_000) -> int:
-    """Delete the expired files of a listing, at most ``most`` at a time (call again for the rest); how many were deleted."""
+def delete_expired(spark, listing: DataFrame, now: Column, hours: float) -> int:
+    """Delete the expired files of a listing; how many were deleted.  Their paths pass the driver one partition at a time."""
     gone = 0
-    for row in expired(listing, now, hours).select("path").limit(most).toLocalIterator():
+    for row in expired(listing, now, hours).select("path").toLocalIterator():
         path = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
         gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False))
     return gone
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write each row (name, bytes) as a file of a folder that all tasks reach by pyarrow; name and path of what was written.
+
+    A file gets its name when it is whole, so a task that runs again replaces it by the same bytes."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = arrow_fs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            paths = []
+            for name, data in zip(pdf["name"], pdf["bytes"], strict=True):
+                path = f"{root}/{name}"
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                aside = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(aside) as out:
+                    out.write(bytes(data))
+                system.move(aside, path)
+                paths.append(path)
+            yield pd.DataFrame({"name": pdf["name"], "path": paths})
+
+    return written(files.select("name", "bytes").mapInPandas(write, "name string, path string"), "files")
+
+
+def numbered_names(files: DataFrame) -> DataFrame:
+    """Equal names (in any case) told apart: the second ``a.txt`` becomes ``a_2.txt``, and if there is a file of that name, ``a_2_<digest>.txt``.  Columns besides ``name`` order them."""
+    by = Window.partitionBy(F.lower("name")).orderBy(*[c for c in files.columns if c != "name"])
+    stem, end = (F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", i) for i in (1, 2))
+    made = F.concat(stem, F.lit("_"), F.col("__n").cast("string"))
+    taken = files.select(F.lower("name").alias("__low"), F.lit(True).alias("__taken")).distinct()
+    out = files.withColumn("__n", F.row_number().over(by)).withColumn("__low", F.lower(F.concat(made, end))).join(taken, "__low", "left")
+    name = F.when(F.col("__n") == 1, F.col("name")).when(F.col("__taken"), F.concat(made, F.lit("_"), F.substring(F.sha2("name", 256), 1, 8), end)).otherwise(F.concat(made, end))
+    return out.withColumn("name", name).select(*files.columns)
+
+
+def write_archives(files: DataFrame, folder: str, archive_bytes: int = 64 << 20) -> DataFrame:
+    """Files (name, bytes) as ZIP archives of about ``archive_bytes`` each; archive, files and bytes of each.  Any number of files is taken: archives are written by tasks."""
+    size = files.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // archive_bytes))
+    named = numbered_names(files.select("name", F.xxhash64("bytes").alias("__h"), "bytes")).withColumn("__p", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = arrow_fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        last, stream, book, aside, count, total = None, None, None, "", 0, 0
+
+        def closed() -> pd.DataFrame:
+            book.close()
+            stream.close()
+            system.move(aside, f"{root}/archive-{last:05d}.zip")
+            return pd.DataFrame({"archive": [f"archive-{last:05d}.zip"], "files": [count], "bytes": [total]})
+
+        for pdf in batches:
+            for p, name, data in zip(pdf["__p"].tolist(), pdf["name"], pdf["bytes"], strict=True):
+                if p != last:
+                    if book is not None:
+                        yield closed()
+                    aside, last, count, total = f"{root}/.{uuid.uuid4().hex}", p, 0, 0
+                    stream = system.open_output_stream(aside)
+                    book = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+                book.writestr(name, bytes(data))
+                count, total = count + 1, total + len(data)
+        if book is not None:
+            yield closed()
+
+    dealt = named.repartition(parts, "__p").sortWithinPartitions("__p", "name").select("__p", "name", "bytes")
+    return written(dealt.mapInPandas(pack, "archive string, files long, bytes long"), "archives")
+
+
 def expired(listing: DataFrame, now: Column, hours: float) -> DataFrame:
     """Files of a listing (path, modified) older than so many hours."""
     return listing.filter(F.col("modified") < now - F.make_dt_interval(hours=F.lit(int(hours))))
