@@ -40,7 +40,14 @@ def display_names(types: Column, shown: int = 3) -> Column:
 
 def hints(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",), most: int = 5) -> DataFrame:
     """Per document and type: largest confidence and up to ``most`` distinct texts."""
-    return spans.groupBy(*keys, "phi_type").agg(F.max("confidence").alias("max_confidence"), F.slice(F.array_sort(F.collect_set("text")), 1, most).alias("texts"))
+    by = [*keys, "phi_type"]
+    once = spans.groupBy(*by, "text").agg(F.max("confidence").alias("confidence"))
+    best = Window.partitionBy(*by)
+    # only the first texts of a type, and the confidence of all of them, meet in one task
+    first = once.filter(F.col("text").isNotNull()).withColumn("n", F.row_number().over(best.orderBy("text"))).filter(F.col("n") <= most)
+    texts = first.groupBy(*by).agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    most_sure = once.groupBy(*by).agg(F.max("confidence").alias("max_confidence"))
+    return most_sure.join(texts, by, "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
 
 
 def job_result(docs: DataFrame, most_errors: int = 10) -> DataFrame:

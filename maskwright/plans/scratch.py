@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +18,29 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="maskwright-")
+        made = tempfile.mkdtemp(prefix="maskwright-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        path = "file://" + made
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_MADE: list[str] = []  #: what this process has written to the shared folder
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that this process has written to the shared folder, once no DataFrame that reads it is needed any more; how many folders went."""
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
