@@ -109,7 +109,7 @@ def map_alias(name: Column, extra: Mapping[str, str] | None = None) -> Column:
 
 def prefixed_custom(name: Column) -> Column:
     """The name behind ``CUSTOM:``, null where there is none."""
-    return F.when(F.upper(name).startswith("CUSTOM:"), F.trim(F.substring(name, 8, 1_000_000)))
+    return F.when(F.upper(name).startswith("CUSTOM:"), F.trim(F.substring(name, F.lit(8), F.char_length(name))))
 
 
 def custom_name(name: Column, text: Column) -> Column:

@@ -130,6 +130,19 @@ def annotation_pairs(spark, d):
     return annotated.read_pairs(spark, path)[1].select("sample_id", "text", "phi_type", "start", "end")
 
 
+@query("SELECT 's' || n_nationkey AS sample_id, 'to ' || n_name || '.' AS whole, n_name AS text, CASE WHEN n_nationkey % 2 = 0 THEN 'COUNTRY' ELSE 'PLACE' END AS phi_type, CASE WHEN n_nationkey % 2 = 0 THEN 3 END AS start FROM nation")
+def annotation_marked(spark, d):
+    """Files that hold text and tags: inline, or with attributes in another order than usual."""
+    key, n = F.col("n_nationkey"), F.col("n_name")
+    inline = F.concat(F.lit('to <PHI TYPE="PLACE">'), n, F.lit("</PHI>."))
+    placed = F.concat(F.lit("to "), n, F.lit('.<NATION TYPE="COUNTRY" text="'), n, F.lit('" end="'), (3 + F.char_length(n)).cast("string"), F.lit('" start="3"/>'))
+    rows = nations(spark, d).select(F.concat(F.lit("s"), key.cast("string"), F.lit(".xml")).alias("name"), F.encode(F.when(key % 2 == 0, placed).otherwise(inline), "UTF-8").alias("bytes"))
+    path = fresh_path(spark, "marked")
+    outputs.write_files(rows, path)
+    samples, gold = annotated.read_marked(spark, path)
+    return samples.withColumnRenamed("text", "whole").join(gold, "sample_id").select("sample_id", "whole", "text", "phi_type", "start")
+
+
 # ---------------------------------------------------------------- writers
 
 
@@ -219,6 +232,21 @@ def plugin_threads(spark, d):
     return out.select("c_custkey", F.array_join(F.transform("spans", lambda s: s["text"]), ",").alias("found"), F.col("model_error").alias("error"))
 
 
+def _labels():
+    return lambda text: [{"label": text.split("|")[1], "text": text.split("|")[0], "start_pos": 0, "end_pos": text.index("|")}]
+
+
+@query("SELECT c_custkey, CASE WHEN k = 0 THEN 'NAME' WHEN k = 1 THEN 'HOSPITAL_NAME' WHEN k = 2 THEN 'LOCATION' ELSE '' END AS found, CASE WHEN k = 0 THEN '0.85' WHEN k = 1 THEN '0.75' WHEN k = 2 THEN '0.8' ELSE '' END AS confidence FROM (SELECT c_custkey, c_custkey % 5 AS k FROM customer)")
+def plugin_labels(spark, d):
+    """A recogniser's own labels as types with their confidence: unlisted ones and those under the least confidence are left out."""
+    k = F.col("c_custkey") % 5
+    label = F.when(k == 0, "PERSON").when(k == 1, "ORG").when(k == 2, "GPE").when(k == 3, "CARDINAL").otherwise("UNLISTED")
+    rows = table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit("|"), label).alias("text"), spans.no_spans().alias("spans"))
+    out = plugins.model_stage(_labels, "recogniser", least=0.6, labels=plugins.ENTITY_LABELS)(rows)
+    listed = lambda c: F.array_join(F.transform("spans", lambda s: s[c].cast("string")), ",")
+    return out.select("c_custkey", listed("phi_type").alias("found"), listed("confidence").alias("confidence"))
+
+
 @query("SELECT event_id, 2 AS times FROM events")
 def stream_reset(spark, d):
     """A query whose checkpoint is reset begins again."""

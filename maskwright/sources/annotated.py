@@ -40,20 +40,41 @@ def cblue_types(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(CBLUE), F.lower(kind)), kind)
 
 
+def _tags(notes: Column) -> Column:
+    """array<struct<text, phi_type, start, end>> of tags with start, end and text attributes in any order (their TYPE, else the tag's name); if there are none, of
+    inline <PHI TYPE="..."> tags."""
+    attribute = lambda tag, name: F.regexp_extract(tag, rf'(?i)\b{name}="([^"]*)"', 1)
+    placed = F.filter(F.regexp_extract_all(notes, F.lit(r'<\w+\s[^<>]*>'), F.lit(0)), lambda t: t.rlike(r'(?i)\bstart="\d+"') & t.rlike(r'(?i)\bend="\d+"') & t.rlike(r'(?i)\btext="'))
+    kind = lambda t: F.coalesce(F.nullif(attribute(t, "TYPE"), F.lit("")), F.regexp_extract(t, r"<(\w+)", 1))
+    with_places = F.transform(placed, lambda t: F.struct(attribute(t, "text").alias("text"), kind(t).alias("phi_type"), attribute(t, "start").try_cast("int").alias("start"), attribute(t, "end").try_cast("int").alias("end")))
+    inline = r'(?i)<PHI\s+TYPE="\w+"[^>]*>[^<]*</PHI>'
+    without = F.transform(
+        F.regexp_extract_all(notes, F.lit(inline), F.lit(0)),
+        lambda t: F.struct(F.regexp_extract(t, ">([^<]*)<", 1).alias("text"), attribute(t, "TYPE").alias("phi_type"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")),
+    )
+    return F.when(F.size(with_places) > 0, with_places).otherwise(without)
+
+
+def _contents(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """sample_id (the stem), extension and text of files."""
+    name = lambda i: F.regexp_extract("path", r"([^/]+)\.([^./]+)$", i)
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(name(1).alias("sample_id"), F.lower(name(2)).alias("extension"), F.decode("content", "UTF-8").alias("text"))
+
+
 def read_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(samples, gold) of text files with an annotation file of the same stem (.xml, .phi, .tags): TYPE tags with text, start and end attributes,
-    else inline <PHI TYPE="..."> tags.  Texts without annotations stay."""
-    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    read = lambda glob: spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(stem.alias("sample_id"), F.decode("content", "UTF-8").alias("text"))
-    texts, notes = read("*.txt"), read("*.{xml,phi,tags}").withColumnRenamed("text", "notes")
-    both = texts.join(notes, "sample_id", "left")
-    tag = r'<(\w+)[^>]*?\bstart="(\d+)"[^>]*?\bend="(\d+)"[^>]*?\btext="([^"]*)"'
-    parts = F.arrays_zip(*[F.regexp_extract_all("notes", F.lit(tag), F.lit(i)).alias(n) for i, n in enumerate(("phi_type", "start", "end", "text"), 1)])
-    inline = r'<PHI TYPE="(\w+)"[^>]*>([^<]*)</PHI>'
-    other = F.arrays_zip(F.regexp_extract_all("notes", F.lit(inline), F.lit(1)).alias("phi_type"), F.regexp_extract_all("notes", F.lit(inline), F.lit(2)).alias("text"))
-    other = F.transform(other, lambda x: F.struct(x["phi_type"], F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end"), x["text"]))
-    gold = both.select("sample_id", F.explode(F.when(F.size(parts) > 0, parts).otherwise(other)).alias("g"))
-    return texts, gold.select("sample_id", "g.text", "g.phi_type", F.col("g.start").try_cast("int").alias("start"), F.col("g.end").try_cast("int").alias("end"))
+    """(samples, gold) of text files with an annotation file of the same stem (.xml, else .phi, else .tags).  Texts without annotations stay."""
+    texts = _contents(spark, path, "*.txt").select("sample_id", "text")
+    found = _contents(spark, path, "*.{xml,phi,tags}")
+    order = F.array_position(F.array(*map(F.lit, ("xml", "phi", "tags"))), F.col("extension"))
+    notes = found.groupBy("sample_id").agg(F.min_by("text", order).alias("notes"))
+    gold = texts.select("sample_id").join(notes, "sample_id").select("sample_id", F.explode(_tags(F.col("notes"))).alias("g"))
+    return texts, gold.select("sample_id", "g.*")
+
+
+def read_marked(spark: SparkSession, path: str, glob: str = "*.{xml,phi,tags,txt}") -> tuple[DataFrame, DataFrame]:
+    """(samples, gold) of files that hold their text and its tags; the text is what is left without tags."""
+    found = _contents(spark, path, glob)
+    return found.select("sample_id", F.regexp_replace("text", "<[^>]+>", "").alias("text")), found.select("sample_id", F.explode(_tags(F.col("text"))).alias("g")).select("sample_id", "g.*")
 
 
 def read_tagged(table: DataFrame, key: str) -> DataFrame:
