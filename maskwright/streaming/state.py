@@ -83,7 +83,7 @@ class ChunkLog(StatefulProcessor):
 
 def chunks_once(chunks: DataFrame, key: str = "doc_id", delay: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
     """key, chunk_id, event, done, total of a stream of chunks (key, chunk_id, total, fingerprint, ts): each chunk of a document's present fingerprint
-    once, whatever is sent again, before or after a restart.  Chunks later than ``delay`` behind the newest are still taken; a document
+    once, whatever is sent again, before or after a restart.  Chunks more than ``delay`` behind the newest of the batches before are late and dropped by the watermark; a document
     without a chunk for ``idle_ms`` of event time is forgotten, with a row ``expired`` whose chunk_id is -1.
     """
     from pyspark.sql import functions as F
