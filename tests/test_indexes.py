@@ -140,3 +140,14 @@ def test_phrases_against_a_scan(spark, tmp_path):
     read, there = index.files_read(one)
     assert read < there / 2 and index.search(one).count() > 10
     assert KeywordIndex(spark, f"file://{tmp_path}/none").build(df.limit(0)).terms().count() == 0
+
+
+def test_equal_phrases_are_searched_once_and_begin_with_their_rarest_word(spark, tmp_path):
+    texts = [(i, "the old " * 20 + ("oak " if i % 7 == 0 else "") + "stands") for i in range(60)] + [(0, "the old oak"), (1, "the old " * 20 + "stands")]
+    df = spark.createDataFrame(texts, "doc_id long, content string")
+    index = KeywordIndex(spark, f"file://{tmp_path}/index", buckets=4).build(df, parts=False)
+    asked = spark.createDataFrame([(i, "old oak" if i % 2 else "the") for i in range(40)], "qid long, phrase string")
+    found = rows_of(index.search(asked), "qid", "doc_id", "hits")
+    assert found == sorted((i, d, 1 if i % 2 else 20) for i in range(40) for d in range(60) if not i % 2 or d % 7 == 0)
+    places = index._asked(spark.createDataFrame([(1, ["the", "old", "oak"])], "pid long, w array<string>"), False)
+    assert rows_of(places, "i", "texts") == [(0, 61), (1, 61), (2, 10)]
