@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from maskwright.plans.scratch import written
 
 MAX_QUERIES = 10_000  #: queries that may be broadcast at once; more are taken in blocks
+TILE, BATCH = 512, 4_096  #: queries and vectors that are compared by one product
+ROWS = 50_000  #: rows of a batch that a task gives
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -41,7 +46,7 @@ def blocks(queries: DataFrame) -> list[DataFrame]:
     return [numbered.filter(F.col("__block") == b).drop("__block") for b in range(-(-n // MAX_QUERIES))]
 
 
-def _in_blocks(queries: DataFrame, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def in_blocks(queries: DataFrame, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The union of what ``reduce`` leaves of each block; with several blocks each is written before the next begins."""
     each = blocks(queries)
     if len(each) == 1:
@@ -52,31 +57,159 @@ def _in_blocks(queries: DataFrame, reduce: Callable[[DataFrame], DataFrame]) ->
     return out[0]
 
 
-def scored(queries: DataFrame, store: DataFrame) -> DataFrame:
-    """qid, vec_id, score of a block of queries (qid, query; see ``blocks``) against all vectors (vec_id, embedding).  The queries are broadcast."""
-    q = queries.select("qid", "query", norm(F.col("query")).alias("__n"))
-    v = store.withColumn("__m", norm(F.col("embedding")))
-    both = v.crossJoin(F.broadcast(q))
-    return both.withColumn("score", F.coalesce(F.try_divide(dot(F.col("query"), F.col("embedding")), F.col("__n") * F.col("__m")), F.lit(0.0))).drop("__n", "__m")
+class Queries:
+    """A block of queries (qid, query; see ``blocks``) as unit vectors by their number of dimensions, for the tasks."""
+
+    def __init__(self, block: DataFrame):
+        rows = block.select("qid", "query").toArrow()  # MAX_QUERIES at most
+        self.qids, vectors = rows.column("qid").combine_chunks(), rows.column("query").combine_chunks()
+        sizes = lengths(vectors)
+        self.groups = [(np.flatnonzero(sizes == w), unit(vectors, w)[sizes == w]) for w in np.unique(sizes)]
+
+    def __len__(self) -> int:
+        return len(self.qids)
+
+
+def lengths(vectors: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+
+
+def unit(vectors: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors in rows; zeros for null vectors, those of other widths and those with missing values, which are like nothing."""
+    sizes = lengths(vectors)
+    out, flat = np.zeros((len(vectors), width)), vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    out[sizes == width] = flat[np.repeat(sizes == width, sizes)].reshape(-1, width)
+    out[~np.isfinite(out).all(1)] = 0
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+class Nearest:
+    """The k best of each of n queries so far; ties of rounded scores by key.  It holds k rows a query, and as many that wait to be compared with them."""
+
+    def __init__(self, n: int, k: int, digits: int):
+        self.k, self.digits, self.least = k, digits, np.full(n, -np.inf)
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, asking: np.ndarray, queries: np.ndarray, vectors: np.ndarray, keys: np.ndarray) -> None:
+        """Compare the vectors with the queries of the numbers ``asking``."""
+        for s in range(0, len(asking), TILE):
+            own, scores = asking[s : s + TILE], queries[s : s + TILE] @ vectors.T
+            low = self.least[own]
+            new = np.isneginf(low)
+            if new.any() and scores.shape[1] > self.k:
+                low[new] = np.partition(scores[new], -self.k, axis=1)[:, -self.k]
+            at, place = np.nonzero(scores >= (low - 10.0**-self.digits)[:, None])  # what rounding may bring level stays
+            self.rows.append((own[at], keys[place], np.round(scores[at, place], self.digits) + 0.0))
+            self.waiting += len(at)
+            if self.waiting > max(len(self.least) * self.k, 1 << 16):
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the query, key and score of the best so far."""
+        if not self.rows:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        row, key, score = map(np.concatenate, zip(*self.rows, strict=True))
+        order = np.lexsort((key, -score, row))
+        row, key, score = row[order], key[order], score[order]
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+        last, kept = rank == self.k - 1, rank < self.k
+        self.least[row[last]] = score[last]
+        self.rows, self.waiting = [(row[kept], key[kept], score[kept])], 0
+        return self.rows[0]
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks for costly work on a table whose rows come in few files."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
+def runs(column: pa.Array) -> list[tuple[int, int]]:
+    """First and last place (exclusive) of each run of equal values."""
+    codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.diff(codes, prepend=-1)).tolist()
+    return list(zip(starts, [*starts[1:], len(codes)], strict=True))
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def nearest(queries: DataFrame, store: DataFrame, k: int, digits: int, key: str = "vec_id", group: str | None = None) -> DataFrame:
+    """(group,) qid, key, score: of a block of queries, each task's k nearest vectors (of each group); rows with null keys are left out.
+
+    Vectors are read in Arrow batches and compared with all queries of the block by products of matrices; a task holds k rows a query, of one group at a time.
+    """
+    asked = store.sparkSession.sparkContext.broadcast(Queries(queries))
+    rows = store.select(*([group] if group else []), key, "embedding").filter(F.col(key).isNotNull())
+    rows = rows.repartitionByRange(tasks(store), group, F.xxhash64(key)).sortWithinPartitions(group) if group else rows.repartition(tasks(store))
+    fields = [rows.schema[group]] if group else []
+    schema = StructType([*fields, queries.schema["qid"], rows.schema[key], StructField("score", DoubleType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, best, of = asked.value, None, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            row, found, score = best.settle()
+            for s in range(0, len(row), ROWS):
+                part = slice(s, s + ROWS)
+                own = [pa.array([of] * len(row[part]), kind)] if group else []
+                yield pa.record_batch([*own, q.qids.take(pa.array(row[part])), pa.array(found[part], key_kind), pa.array(score[part])], schema.names)
+
+        for batch in batches:
+            kind, key_kind = batch.schema.field(0).type, batch.schema.field(key).type
+            for first, last in runs(batch.column(0)) if group else [(0, batch.num_rows)]:
+                now = batch.column(0)[first].as_py() if group else None
+                if best is None or now != of:
+                    if best is not None:
+                        yield from told()
+                    best, of = Nearest(len(q), k, digits), now
+                for s in range(first, last, BATCH):
+                    part = batch.slice(s, min(BATCH, last - s))
+                    for asking, own in q.groups:
+                        best.add(asking, own, unit(part.column("embedding"), own.shape[1]), numbers(part.column(key)))
+        if best is not None:
+            yield from told()
+
+    return rows.mapInArrow(compare, schema)
 
 
 def top_k(queries: DataFrame, store: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
     """qid, vec_id, score, rank of the k most similar vectors; ties by vec_id.  Queries are taken in blocks.
 
-    Each of 64 groups of vectors keeps k first, so what meets in a query's task is bounded whatever the store's size.
+    Each task keeps k of its vectors first, so what meets in a query's task is bounded whatever the store's size.
     """
-    return _in_blocks(queries, lambda block: _top_k(block, store, k, digits))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    first = lambda near: near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return in_blocks(queries, lambda block: first(nearest(block, store, k, digits)).select("qid", "vec_id", "score", "rank"))
+
 
+def over_threshold(queries: DataFrame, store: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
+    """qid, vec_id, score of all pairs that reach the threshold."""
+    return in_blocks(queries, lambda block: _over(block, store, threshold, digits))
 
-def _top_k(queries: DataFrame, store: DataFrame, k: int, digits: int) -> DataFrame:
-    s = scored(queries, store).select("qid", "vec_id", F.round("score", digits).alias("score"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("__g"))
-    order = [F.desc("score"), F.col("vec_id")]
-    near = s.withColumn("__r", F.row_number().over(Window.partitionBy("qid", "__g").orderBy(*order))).filter(F.col("__r") <= k)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("rank") <= k).select("qid", "vec_id", "score", "rank")
 
+def _over(queries: DataFrame, store: DataFrame, threshold: float, digits: int) -> DataFrame:
+    asked = store.sparkSession.sparkContext.broadcast(Queries(queries))
+    rows = store.select("vec_id", "embedding").repartition(tasks(store))
+    schema = StructType([queries.schema["qid"], rows.schema["vec_id"], StructField("score", DoubleType())])
 
-def over_threshold(queries: DataFrame, store: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
-    return _in_blocks(queries, lambda block: scored(block, store).select("qid", "vec_id", F.round("score", digits).alias("score")).filter(F.col("score") >= threshold))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = asked.value
+        for batch in batches:
+            for s in range(0, batch.num_rows, BATCH):
+                part = batch.slice(s, BATCH)
+                for asking, own in q.groups:
+                    vectors = unit(part.column("embedding"), own.shape[1])
+                    for t in range(0, len(asking), TILE):
+                        scores = own[t : t + TILE] @ vectors.T
+                        at, place = np.nonzero(scores >= threshold - 10.0**-digits)
+                        score = np.round(scores[at, place], digits) + 0.0
+                        hit = score >= threshold
+                        yield pa.record_batch([q.qids.take(pa.array(asking[t + at[hit]])), part.column("vec_id").take(pa.array(place[hit])), pa.array(score[hit])], schema.names)
+
+    return rows.mapInArrow(compare, schema)
 
 
 def mmr(queries: DataFrame, store: DataFrame, k: int = 5, fetch: int = 20, trade: float = 0.5) -> DataFrame:
@@ -155,10 +288,10 @@ def chunk_retrieval(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFr
     order = Window.partitionBy("doc_id", "qid").orderBy(F.desc("score"), "chunk_id")
 
     def near(block: DataFrame) -> DataFrame:
-        s = scored(block, chunks).withColumn("score", F.round("score", 6))
+        s = nearest(block, chunks, k, 6, "chunk_id", "doc_id")
         return s.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc_id", "qid", "chunk_id", "score", "rank")
 
-    return _in_blocks(queries, near)
+    return in_blocks(queries, near)
 
 
 class VectorStore:

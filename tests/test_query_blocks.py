@@ -30,3 +30,17 @@ def test_blocks_give_what_one_broadcast_gives(spark, monkeypatch, most):
 def test_no_queries(spark):
     store = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert retrieval.top_k(store.selectExpr("vec_id as qid", "embedding as query").limit(0), store).count() == 0
+
+
+def test_vectors_meet_queries_by_products_of_matrices(spark, monkeypatch):
+    """Ties by key over several tiles, vectors that are like nothing, keys that are strings; no row for each pair."""
+    monkeypatch.setattr(retrieval, "ROWS", 3)
+    rows = [(f"k{i:02}", i % 2, [1.0, float(i % 5)]) for i in range(40)] + [("null", 0, None), ("zero", 0, [0.0, 0.0]), ("long", 0, [1.0, 2.0, 3.0]), ("gap", 1, [1.0, None])]
+    store = spark.createDataFrame(rows, "vec_id string, doc_id int, embedding array<float>")
+    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 2.0, 3.0])], "qid string, query array<float>")
+    got = retrieval.top_k(queries, store, 3)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.select("qid", "vec_id", "score", "rank").collect())) == [("a", "k00", 1.0, 1), ("a", "k05", 1.0, 2), ("a", "k10", 1.0, 3), ("b", "gap", 0.0, 2), ("b", "k00", 0.0, 3), ("b", "long", 1.0, 1)]
+    assert retrieval.over_threshold(queries, store, 0.9).count() == 9
+    near = retrieval.chunk_retrieval(store.withColumnRenamed("vec_id", "chunk_id"), queries.filter("qid = 'a'"), 1)
+    assert sorted((r.doc_id, r.chunk_id) for r in near.collect()) == [(0, "k00"), (1, "k05")]
