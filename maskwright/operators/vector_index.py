@@ -6,30 +6,33 @@ is settled when the index is built, as the fewest that find the share ``recall``
 With ``exact`` it then reads each cell whose bound - the cosine of the angle to the centre less the cell's largest angle - reaches the k-th score found, and
 nothing can be missed.  The vectors are a ``SegmentStore``: added, deleted and compacted without building the index again.
 
-Queries and vectors meet by cell.  A cell of many vectors or queries is dealt in blocks, so equal vectors or a favourite cell fill no task;
-what leaves a block is k rows a query.  Zero vectors score 0 with everything and have a cell's widest angle.
+Queries go to the tasks in blocks, each with a bit for every cell that it looks into; vectors come in cell order, a cell of many of them over several tasks, so equal vectors or a
+favourite cell fill no task.  What leaves a task is k rows a query.  Zero vectors score 0 with everything and have a cell's widest angle.
 """
 
 from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from maskwright.operators.retrieval import norm
+from maskwright.operators.retrieval import BATCH, ROWS, Nearest, in_blocks, norm, numbers, runs, tasks, unit
 from maskwright.plans.scratch import written
 from maskwright.sources.segments import SegmentStore
 
 SAMPLE = 50_000  #: vectors that cells are fitted on: those of the smallest digests of their keys
 TRIALS, AMONG = 200, 5_000  #: vectors of the sample whose neighbours among so many others settle the number of probes
 MAX_CELLS = 16_384  #: centres that may be sent to all tasks
-BLOCK = 8_192  #: vectors of a cell, and queries, that are compared at once
+BLOCK = 1_024  #: vectors whose cells are found at once
 
 
 def _unit(x) -> np.ndarray:
@@ -37,19 +40,6 @@ def _unit(x) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def best_of(queries: np.ndarray, vectors: np.ndarray, keys: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of the query, key and score of each query's k best; ties of rounded scores by key."""
-    scores = np.round(queries @ vectors.T, digits)
-    rows, places = [], []
-    for i, s in enumerate(scores):
-        at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-        at = at[np.lexsort((keys[at], -s[at]))][:k]
-        rows.append(np.full(len(at), i))
-        places.append(at)
-    row, place = np.concatenate(rows), np.concatenate(places)
-    return row, keys[place], scores[row, place]
-
-
 def probes_for(vectors: np.ndarray, centres: np.ndarray, recall: float, k: int = 5) -> int:
     """The fewest nearest cells that hold the share ``recall`` of the ``k`` nearest others of some of the vectors."""
     if len(vectors) < 2:
@@ -134,67 +124,77 @@ class VectorIndex:
         """qid, key, score, rank of each query's k nearest vectors of those that meet ``where``, in ``probes`` cells (by default as built).  ``queries``: qid, query."""
         rows = self.store.load(version)
         rows = rows.filter(where) if where is not None else rows
-        asked = written(queries.select("qid", "query"), "queries")
         probes = probes or self.spark.read.parquet(f"{self.path}/probes").first()["probes"]
         stats = {r["__cell"]: (r["n"], r["angle"]) for r in self.spark.read.parquet(f"{self.path}/cells").groupBy("__cell").agg(F.sum("n").alias("n"), F.max("angle").alias("angle")).collect()}
         if not stats:
-            columns = [asked.schema["qid"], rows.schema[self.key], StructField("score", DoubleType()), StructField("rank", IntegerType())]
+            columns = [queries.schema["qid"], rows.schema[self.key], StructField("score", DoubleType()), StructField("rank", IntegerType())]
             return self.spark.createDataFrame([], StructType(columns))
-        found = self._met(self._probes(asked, probes, stats), rows, k, digits, stats)
-        if exact:
-            found = written(found, "found")
-            last = self._first(found, k).groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-            found = found.unionByName(self._met(self._probes(asked.join(last, "qid", "left"), probes, stats, 10.0**-digits), rows, k, digits, stats))
-        return self._first(found, k)
+        there = np.array(sorted(stats), np.int64)
+
+        def of(block: DataFrame) -> DataFrame:
+            found = self._met(self._probes(block, probes, stats), rows, k, digits, there)
+            if exact:
+                found = written(found, "found")
+                last = self._first(found, k).groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+                found = found.unionByName(self._met(self._probes(block.join(last, "qid", "left"), probes, stats, 10.0**-digits), rows, k, digits, there))
+            return self._first(found, k)
+
+        return in_blocks(queries.select("qid", "query"), of)
 
     def _first(self, found: DataFrame, k: int) -> DataFrame:
         order = Window.partitionBy("qid").orderBy(F.desc("score"), self.key)
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     def _probes(self, queries: DataFrame, probes: int, stats: dict, slack: float | None = None) -> DataFrame:
-        """qid, query and each cell to look into: the nearest ones, or with ``slack`` those others that may reach the score ``least``."""
+        """qid, query and the cells to look into, a bit for each: the nearest ones, or with ``slack`` those others that may reach the score ``least``."""
         there = np.array(sorted(stats), np.int64)
         centres = self.spark.sparkContext.broadcast(self.centres()[there])
         angles = np.array([stats[c][1] for c in there])
-        schema = StructType([queries.schema["qid"], queries.schema["query"], StructField("cell", IntegerType())])
+        schema = StructType([queries.schema["qid"], queries.schema["query"], StructField("cells", BinaryType())])
 
         def cells(batches):
             for pdf in batches:
-                for s in range(0, len(pdf), 1024):
-                    some = pdf.iloc[s : s + 1024]
+                for s in range(0, len(pdf), 256):
+                    some = pdf.iloc[s : s + 256]
                     near = np.clip(_unit(some["query"]) @ centres.value.T, -1, 1)
-                    order = np.argsort(-near, axis=1, kind="stable")
+                    nearest = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+                    may = np.zeros(near.shape, bool)
                     if slack is None:
-                        chosen = order[:, :probes]
-                        row, at = np.repeat(np.arange(len(some)), chosen.shape[1]), chosen.ravel()
+                        np.put_along_axis(may, nearest, True, axis=1)
                     else:
                         bound = np.cos(np.maximum(np.arccos(near) - angles, 0))
-                        least = some["least"].fillna(-2.0).to_numpy(float)
-                        may = bound + slack >= least[:, None]
-                        np.put_along_axis(may, order[:, :probes], False, axis=1)
-                        row, at = np.nonzero(may)
-                    yield pd.DataFrame({"qid": some["qid"].to_numpy()[row], "query": some["query"].to_numpy()[row], "cell": there[at].astype(np.int32)})
+                        may = bound + slack >= some["least"].fillna(-2.0).to_numpy(float)[:, None]
+                        np.put_along_axis(may, nearest, False, axis=1)
+                    yield pd.DataFrame({"qid": some["qid"].to_numpy(), "query": some["query"].to_numpy(), "cells": [b.tobytes() for b in np.packbits(may, axis=1)]})
 
         return written(queries.mapInPandas(cells, schema), "probes")
 
-    def _met(self, probes: DataFrame, rows: DataFrame, k: int, digits: int, stats: dict) -> DataFrame:
-        """qid, key, score of the k best of each query in each block of its cells."""
-        asked = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}  # MAX_CELLS at most
-        plan = [(c, -(-stats[c][0] // BLOCK), -(-n // BLOCK)) for c, n in asked.items()]
-        sizes = F.broadcast(self.spark.createDataFrame(plan, "__cell int, __v int, __q int"))
-        numbered = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-        held = rows.filter(F.col("__cell").isin(list(asked))) if 0 < len(asked) <= 1000 else rows  # reaches the scan
-        left = held.join(sizes, "__cell").select(self.key, self.vector, "__cell", F.pmod(F.xxhash64(self.key), "__v").cast("int").alias("__i"), F.explode(numbered("__q")).alias("__j"))
-        right = probes.withColumnRenamed("cell", "__cell").join(sizes, "__cell")
-        right = right.select("qid", "query", "__cell", F.pmod(F.xxhash64("qid"), "__q").cast("int").alias("__j"), F.explode(numbered("__v")).alias("__i"))
+    def _met(self, probes: DataFrame, rows: DataFrame, k: int, digits: int, there: np.ndarray) -> DataFrame:
+        """qid, key, score: of a block of queries, each task's k best in their cells.  Vectors come in cell order; a cell meets the queries that look into it by one product."""
+        asked = probes.toArrow()  # retrieval.MAX_QUERIES at most, with MAX_CELLS bits each
+        bits = np.stack([np.frombuffer(b, np.uint8) for b in asked.column("cells").to_pylist()]) if asked.num_rows else np.zeros((0, -(-len(there) // 8)), np.uint8)
+        wanted = there[np.unpackbits(np.bitwise_or.reduce(bits, axis=0), count=len(there)).astype(bool)].tolist() if len(bits) else []
+        width = len(self.spark.read.parquet(f"{self.path}/centres").first()["centre"])
+        sent = self.spark.sparkContext.broadcast((asked.column("qid").combine_chunks(), unit(asked.column("query").combine_chunks(), width), bits))
         key, vector = self.key, self.vector
-
-        def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-            if v.empty or q.empty:
-                return pd.DataFrame({"qid": q["qid"].iloc[:0], key: v[key].iloc[:0], "score": np.zeros(0)})
-            row, found, score = best_of(_unit(q["query"]), _unit(v[vector]), v[key].to_numpy(), k, digits)
-            return pd.DataFrame({"qid": q["qid"].to_numpy()[row], key: found, "score": score})
-
-        by = ["__cell", "__i", "__j"]
-        kinds = f"qid {probes.schema['qid'].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score double"
-        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, kinds)
+        held = rows.filter(F.col("__cell").isin(wanted)) if len(wanted) <= 1000 else rows  # reaches the scan
+        held = held.select("__cell", key, vector).repartitionByRange(tasks(rows), "__cell", F.xxhash64(key)).sortWithinPartitions("__cell")
+        schema = StructType([probes.schema["qid"], rows.schema[key], StructField("score", DoubleType())])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, queries, bits = sent.value
+            best, kind = Nearest(len(qids), k, digits), None
+            for batch in batches:
+                kind = batch.schema.field(1).type
+                for first, last in runs(batch.column(0)):
+                    at = int(np.searchsorted(there, batch.column(0)[first].as_py()))
+                    asking = np.flatnonzero(bits[:, at >> 3] >> (7 - (at & 7)) & 1)
+                    for s in range(first, last, BATCH) if len(asking) else ():
+                        part = batch.slice(s, min(BATCH, last - s))
+                        best.add(asking, queries[asking], unit(part.column(2), width), numbers(part.column(1)))
+            if kind is not None:
+                row, found, score = best.settle()
+                for s in range(0, len(row), ROWS):
+                    yield pa.record_batch([qids.take(pa.array(row[s : s + ROWS])), pa.array(found[s : s + ROWS], kind), pa.array(score[s : s + ROWS])], schema.names)
+
+        return held.mapInArrow(compare, schema)
