@@ -9,7 +9,7 @@ from maskwright.functions import types as Y
 from maskwright.operators import chunking, evaluation, identifiers, masking, retrieval, rules, spans
 from maskwright.plans import reports
 from maskwright.plans.plugins import model_stage
-from maskwright.plans.scratch import fresh_path
+from maskwright.plans.scratch import fresh_path, spread
 from maskwright.queries import _G, _GOLD, _P, _PRED, _RATIOS, customer_ids, gold_and_predicted, query, spans_sql, table, tagged, vectors
 from maskwright.queries import _ACCURACY, _counts_sql, _ID_SQL, _TAGGED, _FIRST, _VALID_SQL
 from maskwright.sources import annotated, catalogue, outputs
@@ -540,7 +540,7 @@ def hashed_embeddings(spark, d):
     """Unit vectors; the order of words does not matter."""
     a = retrieval.hashed_terms(F.concat("c_name", F.lit(" "), "c_mktsegment"))
     b = retrieval.hashed_terms(F.concat("c_mktsegment", F.lit(" "), "c_name"))
-    return table(spark, d, "customer").select("c_custkey", F.round(retrieval.norm(a), 6).alias("length"), (a == b).alias("same"))
+    return spread(table(spark, d, "customer")).select("c_custkey", F.round(retrieval.norm(a), 6).alias("length"), (a == b).alias("same"))
 
 
 # ---------------------------------------------------------------- evaluation
