@@ -52,8 +52,9 @@ def progress_events(spark, d):
     path, source, out = (fresh_path(spark, x) for x in ("progress", "stream-in", "out"))
     batch, stream = progress.Progress(spark, path, "batch"), progress.Progress(spark, path, "stream")
     progress.run(batch, docs, stages, lambda df: df.write.parquet(f"{out}/batch"), wanted)
-    docs.repartition(3).write.parquet(source)
-    progress.run_stream(stream, streams.read_stream(spark, source, docs.schema, files_per_trigger=1), stages, f"{out}/stream", f"{out}/checkpoint", wanted)
+    files = max(3, docs.count() // 10_000)  # so that a file is no more than a task's share
+    docs.repartition(files).write.parquet(source)
+    progress.run_stream(stream, streams.read_stream(spark, source, docs.schema, files_per_trigger=-(-files // 3)), stages, f"{out}/stream", f"{out}/checkpoint", wanted)
     told = batch.events().unionByName(stream.events()).filter("event = 'stage_completed'")
     sums = {c: F.sum(F.col("measures")[c]).alias(c) for c in ("rows", "spans")}
     return told.groupBy(F.col("job_id").alias("job"), "stage").agg(*sums.values())
