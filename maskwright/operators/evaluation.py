@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +69,11 @@ def ratios(rows: DataFrame, digits: int = 6) -> DataFrame:
     return rows.withColumns({"precision": F.round(p, digits), "recall": F.round(r, digits), "f1": F.round(f1, digits)})
 
 
-def _counts(gold: DataFrame, predicted: DataFrame, keys: list[str], out: list[str]) -> DataFrame:
-    """tp, fp, fn of multisets: per key the smaller count matches.  Both sides are counted before they meet."""
-    g = gold.groupBy(*keys).agg(F.count("*").alias("g"))
-    p = predicted.groupBy(*keys).agg(F.count("*").alias("p"))
-    both = g.join(p, keys, "full_outer").fillna(0, ["g", "p"])
+def _counts(gold: DataFrame, predicted: DataFrame, keys: list[str], out: list[str], count=F.sum) -> DataFrame:
+    """tp, fp, fn of multisets: per key the smaller count matches.  Both sides are counted at once, without a join."""
+    side = lambda x, g, p: x.select(*keys, F.lit(g).cast("long").alias("g"), F.lit(p).cast("long").alias("p"), F.when(null, g).alias("__own"))
+    null = reduce(or_, [F.col(k).isNull() for k in keys])  # such a key matches nothing
+    both = side(gold, 1, 0).unionByName(side(predicted, 0, 1)).groupBy(*keys, "__own").agg(count("g").alias("g"), count("p").alias("p"))
     tp = F.least("g", "p")
     sums = [F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in ((tp, "tp"), (F.col("p") - tp, "fp"), (F.col("g") - tp, "fn"))]
     return both.groupBy(*out).agg(*sums) if out else both.agg(*sums)
@@ -147,7 +150,7 @@ def evaluate_detector(docs: DataFrame, gold: DataFrame, detector, key: str = "sa
 def set_metrics(gold: DataFrame, predicted: DataFrame, keys: tuple[str, ...] = ("phi_type", "text"), fold_case: bool = False) -> DataFrame:
     """Distinct keys on both sides."""
     lower = lambda x: x.withColumn("text", F.lower("text")) if fold_case else x
-    return ratios(_counts(lower(gold).select(*keys).distinct(), lower(predicted).select(*keys).distinct(), list(keys), []))
+    return ratios(_counts(lower(gold), lower(predicted), list(keys), [], F.max))
 
 
 def greedy_hits(gold: Column, predicted: Column) -> Column:
