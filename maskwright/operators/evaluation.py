@@ -79,6 +79,14 @@ def _counts(gold: DataFrame, predicted: DataFrame, keys: list[str], out: list[st
     return both.groupBy(*out).agg(*sums) if out else both.agg(*sums)
 
 
+def _sides(gold: DataFrame, predicted: DataFrame, g: Column, p: Column, g_agg, p_agg) -> DataFrame:
+    """sample_id, g, p: what is gathered of both sides of a sample (arrays, empty without rows), in one aggregation, without a join."""
+    side = lambda x, g, p, own: x.select("sample_id", g.alias("g"), p.alias("p"), F.when(F.col("sample_id").isNull(), own).alias("__own"))
+    null = F.lit(None)  # gathered by neither; a sample without a name matches nothing
+    both = side(gold, g, null, 1).unionByName(side(predicted, null, p, 0))
+    return both.groupBy("sample_id", "__own").agg(g_agg(F.col("g")).alias("g"), p_agg(F.col("p")).alias("p")).drop("__own")
+
+
 def exact(gold: DataFrame, predicted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Matches of equal text (stripped, lower-cased) and normalised type within a sample.  Inputs: sample_id, text, phi_type.  ``by``: sample_id and / or phi_type."""
     g, p = (x.select("sample_id", compared(F.col("text")).alias("text"), normal_form(F.col("phi_type")).alias("phi_type")) for x in (gold, predicted))
@@ -155,25 +163,21 @@ def set_metrics(gold: DataFrame, predicted: DataFrame, keys: tuple[str, ...] = (
 
 def greedy_hits(gold: Column, predicted: Column) -> Column:
     """Number of predictions, in order, that find an unused gold text they contain or are contained in (the first such)."""
-    start = F.struct(F.transform(gold, lambda g: F.lit(False)).alias("used"), F.lit(0).alias("tp"))
 
-    def step(acc: Column, p: Column) -> Column:
-        fits = F.transform(F.arrays_zip(gold.alias("g"), acc["used"].alias("u")), lambda x: ~x["u"] & (F.contains(x["g"], p) | F.contains(p, x["g"])))
-        at = F.array_position(fits, F.lit(True))
-        used = F.transform(acc["used"], lambda u, i: u | (i == at - 1))
-        return F.struct(F.when(at > 0, used).otherwise(acc["used"]).alias("used"), (acc["tp"] + (at > 0).cast("int")).alias("tp"))
+    def step(free: Column, p: Column) -> Column:
+        at = F.array_position(F.transform(free, lambda g: F.contains(g, p) | F.contains(p, g)), F.lit(True))
+        without = lambda i: F.when(i > 0, F.concat(F.slice(free, F.lit(1), i - 1), F.slice(free, i + 1, F.size(free)))).otherwise(free)
+        return F.transform(F.array(at.cast("int")), without)[0]  # so that the place is found once
 
-    return F.aggregate(predicted, start, step, lambda acc: acc["tp"])
+    return F.aggregate(predicted, gold, step, lambda free: F.size(gold) - F.size(free))
 
 
 def partial(gold: DataFrame, predicted: DataFrame, per_sample: bool = False) -> DataFrame:
     """Greedy containment matches per sample; types are not looked at.  Inputs: sample_id, seq, text.  A sample's entities form a row."""
-    text = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: compared(s["text"]))
-    g, p = (x.groupBy("sample_id").agg(text(x).alias(n)) for x, n in ((gold, "g"), (predicted, "p")))
-    both = g.join(p, "sample_id", "full_outer")
-    none = F.array().cast("array<string>")
-    g, p = F.coalesce("g", none), F.coalesce("p", none)
-    rows = both.withColumns({"g": g, "p": p}).withColumn("tp", greedy_hits(F.col("g"), F.col("p")).cast("long"))
+    text = lambda e: F.sort_array(F.collect_list(e))["compared"]
+    entity = F.struct("seq", "text", compared(F.col("text")).alias("compared"))
+    both = _sides(gold, predicted, entity, entity, text, text)
+    rows = both.withColumn("tp", greedy_hits(F.col("g"), F.col("p")).cast("long"))
     rows = rows.select("sample_id", "tp", (F.size("p") - F.col("tp")).alias("fp"), (F.size("g") - F.col("tp")).alias("fn"))
     return ratios(rows if per_sample else rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]))
 
