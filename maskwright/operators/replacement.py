@@ -10,12 +10,14 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.plans.scratch import written
 
 BLOCK_BYTES = 8 << 20  #: of values and masks in one automaton
+PIECE = 256  #: texts of an Arrow batch that are strings of Python at once
 
 
 class Replacer:
@@ -63,11 +65,12 @@ def replacing(pairs: dict[str, str]) -> Callable[[Column], Column]:
     """The replacement as a function of columns, for pairs that the caller holds."""
     made: list[Replacer] = []
 
-    @F.pandas_udf("string")
-    def replace(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def replace(texts: pa.Array) -> pa.Array:
         if not made:
             made.append(Replacer(pairs))
-        return texts.map(made[0], na_action="ignore")
+        pieces = (texts.slice(i, PIECE).to_pylist() for i in range(0, len(texts), PIECE))  # few texts of a batch are Python's at a time
+        return pa.concat_arrays([pa.array([made[0](t) for t in piece], texts.type) for piece in pieces] or [texts])
 
     return replace
 

@@ -1,7 +1,9 @@
 """Overlaps and replacement against plain versions."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,18 @@ def test_pairs_of_a_row_and_of_a_list(spark):
     assert {int(r.id): r.t for r in M.mask_table(df.select(F.col("id"), "t"), list(pairs.items())).collect()} == expected
     none = F.array().cast("array<struct<value:string,masked:string>>")
     assert df.select(M.replaced(F.lit("a"), none).alias("x")).first().x == "a"
+
+
+def test_replacing_holds_few_texts_of_a_batch_at_once(spark):
+    rows = spark.range(1000).coalesce(1).selectExpr("id", "case when id % 7 = 0 then null when id % 5 = 0 then '' else concat('ab', id, 'ab') end as t")
+    replace = R.replacing({"ab": "#"})
+    got = rows.select("id", replace(F.col("t")).alias("t")).collect()
+    assert [(r.id, r.t) for r in got] == [(i, None if i % 7 == 0 else "" if i % 5 == 0 else f"#{i}#") for i in range(1000)]
+    texts = pa.array(["ab" + "x" * 1998] * 20_000)
+    replace.func(texts[:1])
+    tracemalloc.start()
+    out = replace.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 20_000 and out[19_999].as_py() == "#" + "x" * 1998
+    assert peak < 10 << 20  # all texts as strings are 40 MB, and 20 MB more replaced
