@@ -19,7 +19,8 @@ def stream_chunks_once(spark, d):
     totals = rows.groupBy("user_id").agg(F.count("*").alias("total"))
     sent = rows.join(totals, "user_id").select("user_id", F.col("event_id").alias("chunk_id"), "total", F.lit("v1").alias("fingerprint"), "ts")
     path, out, checkpoint = (fresh_path(spark, x) for x in ("stream-in", "stream-out", "stream-checkpoint"))
-    stream = lambda: state.chunks_once(streams.read_stream(spark, path, sent.schema, files_per_trigger=100), "user_id", "3650 days")
+    groups = max(256, totals.count() // 100)
+    stream = lambda: state.chunks_once(streams.read_stream(spark, path, sent.schema, files_per_trigger=100), "user_id", "3650 days", groups=groups)
     sent.unionByName(sent.filter("chunk_id % 3 = 0")).filter("chunk_id % 5 <> 0").write.parquet(path)
     state.start_stateful(stream(), out, checkpoint).awaitTermination()
     sent.filter("chunk_id % 2 = 0 or chunk_id % 5 = 0").write.mode("append").parquet(path)

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,59 @@ def test_ranges_against_sets():
             assert all(b + 1 < c for (_, b), (c, _) in zip(ranges.tolist(), ranges.tolist()[1:], strict=False))
 
 
+def test_documents_against_sets():
+    def model(known, rows):
+        for k in dict.fromkeys(x[0] for x in rows):
+            own = sorted((x for x in rows if x[0] == k), key=lambda x: (x[4], x[1]))
+            for mark in dict.fromkeys(x[3] for x in own):
+                some = [x for x in own if x[3] == mark]
+                if k not in known or known[k]["mark"] != mark:
+                    known[k] = {"mark": mark, "seen": set(), "deadline": known[k]["deadline"] if k in known else 0}
+                known[k]["total"] = max(x[2] for x in some)
+                for c in sorted({x[1] for x in some} - known[k]["seen"]):
+                    known[k]["seen"].add(c)
+                    yield k, c, "chunk", len(known[k]["seen"]), known[k]["total"]
+            known[k]["deadline"] = max(known[k]["deadline"], max(x[4] for x in own) + 10)
+
+    for seed in range(60):
+        r, documents, known = random.Random(seed), state.Documents.empty(), {}
+        for _ in range(6):
+            ids = [*range(20), 2**62, 2**62 + 1, -(2**63), 2**63 - 1]
+            rows = [(r.choice(["a", "b", "c", None]), r.choice(ids), r.randint(1, 50), r.choice(["x", "x", "x", "y", None]), r.randrange(100)) for _ in range(r.randint(1, 30))]
+            got = documents.add(pd.DataFrame(rows, columns=["id", "chunk_id", "total", "fingerprint", "ms"]), 10)
+            assert sorted(got.astype(object).itertuples(index=False, name=None), key=repr) == sorted(model(known, rows), key=repr)
+            documents = state.Documents.read(documents.bytes())
+            limit = r.randrange(80)
+            gone = documents.expire(documents.deadline < limit)
+            assert {(k, d, t) for k, d, t in zip(gone["id"], gone["done"], gone["total"], strict=True)} == {(k, len(x["seen"]), x["total"]) for k, x in known.items() if x["deadline"] < limit}
+            known = {k: x for k, x in known.items() if x["deadline"] >= limit}
+
+
+def test_state_is_kept_by_groups_of_documents(spark, tmp_path):
+    source, out, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
+    docs = [2**53 + i for i in range(300)] + [None]
+
+    def send(rows, groups=2):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = state.chunks_once(streams.read_stream(spark, source, spark.createDataFrame([], SCHEMA).schema), delay="1 minute", idle_ms=3_600_000, groups=groups)
+        query = state.start_stateful(stream, out, checkpoint)
+        query.awaitTermination()
+        told = [s for p in query.recentProgress for s in p["stateOperators"]]
+        assert {s["numRowsTotal"] for s in told} == {2}  # a call and a state for each group, not for each document
+        return sorted(((r.doc_id, r.chunk_id, r.event, r.done, r.total) for r in spark.read.parquet(out).collect()), key=str)
+
+    first = send([(d, c, 2, "a", at(i % 3 * 10)) for i, d in enumerate(docs) for c in (0, 0)])
+    assert first == sorted([(d, 0, "chunk", 1, 2) for d in docs], key=str)
+    second = send([(d, c, 2, "a", at(30)) for d in docs[::2] for c in (0, 1)])
+    assert second == sorted(first + [(d, 1, "chunk", 2, 2) for d in docs[::2]], key=str)
+    # the watermark is at the deadline of those last sent at 10: they and those of 0 are overdue, the others of their group are not
+    third = send([(d, 1, 2, "a", at(71)) for d in docs[::2]])
+    overdue = [(d, -1, "expired", 1, 2) for i, d in enumerate(docs) if i % 2 and i % 3 < 2]
+    assert third == sorted(second + overdue, key=str)
+    with pytest.raises(Exception, match="in 2 groups, not 3"):
+        send([(d, 5, 2, "a", at(72)) for d in docs], groups=3)
+
+
 def test_each_chunk_once_over_restarts(spark, tmp_path):
     source, out, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
     n = 0
