@@ -168,3 +168,18 @@ def test_a_search_does_not_shuffle_phrases_by_texts(spark, tmp_path):
     found = rows_of(index.search(spark.createDataFrame(asked, "qid long, phrase string")), "qid", "doc_id", "hits")
     assert found == sorted((q, d, 1) for q, p in asked for d, t in texts if f" {p} " in f" {t} ") and len(found) > 3600
     assert shuffled(spark) - before < 2000  # phrases, their words and the postings asked for: 966, before 2,900
+
+
+def test_parts_meet_words_of_blocks_not_of_texts(spark, tmp_path):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcd") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    texts = [(i, " ".join(r.choice(vocabulary) for _ in range(30))) for i in range(400)]
+    asked = [(i, w[1:5]) for i, w in enumerate(sorted(set(vocabulary)))] + [(100, vocabulary[0][-2:] + " " + vocabulary[1][:2]), (101, "zz")]
+    df = spark.createDataFrame(texts, "doc_id long, content string")
+    expected = {(q, d) for q, p in asked for d, t in texts if p in t}
+    for buckets in (4, 1000):  # more parts than folders, and fewer
+        index = KeywordIndex(spark, f"file://{tmp_path}/{buckets}", buckets=buckets).build(df)
+        before = shuffled(spark)
+        found = rows_of(index.search(spark.createDataFrame(asked, "qid long, phrase string"), part=True), "qid", "doc_id", "hits")
+        assert shuffled(spark) - before < 2000  # 434 and 487, before 11,340 and 11,389
+        assert {x[:2] for x in found} == expected and len(found) == len(expected)
